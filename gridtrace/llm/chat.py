@@ -115,7 +115,9 @@ def _sorted_stream(df: DataFrame, partitions: int | None) -> DataFrame:
     narrow = df.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return narrow.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = narrow.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    #: As strings: pandas would round whole numbers beside a null.
+    return ordered.select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
 
 
 def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[tuple[object, str, str]]]]:
@@ -123,8 +125,8 @@ def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, It
 
     def rows():
         for b in batches:
-            ids = b["conv_id"].astype(object).where(b["conv_id"].notna(), None)
-            turns = b["turn"].astype(object).where(b["turn"].notna(), None)
+            ids = [None if x is None else int(x) for x in b["conv_id"]]
+            turns = [None if x is None else int(x) for x in b["turn"]]
             yield from zip(ids, turns, b["role"], b["text"])
 
     from itertools import groupby
@@ -160,11 +162,8 @@ def format_conversations(df: DataFrame, template: Template = chatml, mask=mask_o
 
 
 def _frame(rows: list, names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    for c in ("conv_id", "turn"):
-        if c in out:
-            out[c] = out[c].astype("Int64")
-    return out
+    cols = zip(*rows, strict=True)
+    return pd.DataFrame({n: pd.array(c, dtype="Int64") if n in ("conv_id", "turn") else c for n, c in zip(names, cols, strict=True)})
 
 
 def digest_conversations(df: DataFrame, context: int = 32, partitions: int | None = None) -> DataFrame:

@@ -156,16 +156,14 @@ def _explode(width: int, id_name: str):
         words = Vocabulary()
         for b in batches:
             rows = []
-            for item, text in zip(b["i"].astype(object).where(b["i"].notna(), None), b["t"]):
+            for item, text in zip(b["i"], b["t"]):
                 h, k, slots = canonical(text or "", words)
                 form = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
                 own = min(width, len(h))
                 if own:
                     for pos, hash_ in zip(*windows(h, k, own), strict=True):
                         rows.append((item, form, own, int(pos), int(hash_), [s for s in slots[pos : pos + own] if s]))
-            out = pd.DataFrame(rows, columns=[id_name, "form", "width", "ipos", "hash", "ivals"])
-            out[id_name] = out[id_name].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=[id_name, "form", "width", "ipos", "hash", "ivals"])
 
     return run
 
@@ -173,9 +171,11 @@ def _explode(width: int, id_name: str):
 def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float = 0.5, run_words: int = 13, shared: int = 20) -> DataFrame:
     """Pairs: row_key, doc_id, item_id, matched windows, coverage and whether slot values differ."""
     spark = docs.sparkSession
-    items = bench.selectExpr("item_id AS i", "text AS t").mapInPandas(
-        _explode(width, "item_id"), "item_id long, form long, width int, ipos int, hash long, ivals array<string>"
+    #: Ids go as strings: pandas would round whole numbers beside a null.
+    items = bench.selectExpr("CAST(item_id AS STRING) AS i", "text AS t").mapInPandas(
+        _explode(width, "item_id"), "item_id string, form long, width int, ipos int, hash long, ivals array<string>"
     )
+    items = items.withColumn("item_id", F.col("item_id").cast("long"))
     items = materialize(items, "items")
     #: One item stands for all of the same canonical form.
     stands = items.groupBy("form", "width").agg(F.min("item_id").alias("item_id"))
@@ -195,7 +195,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
         bits, vocab = shared_bitmap.value, Vocabulary()
         for b in batches:
             rows = []
-            for key, doc, text in zip(b["row_key"], b["i"].astype(object).where(b["i"].notna(), None), b["t"]):
+            for key, doc, text in zip(b["row_key"], b["i"], b["t"]):
                 h, k, slots = canonical(text or "", vocab)
                 for w in widths:
                     pos, hashes = windows(h, k, w)
@@ -204,13 +204,12 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
                     for n in hit:
                         p = int(pos[n])
                         rows.append((key, doc, p, int(hashes[n]), [s for s in slots[p : p + w] if s]))
-            out = pd.DataFrame(rows, columns=["row_key", "doc_id", "dpos", "hash", "dvals"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "dpos", "hash", "dvals"])
 
-    hits = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").alias("i"), F.col("text").alias("t")).mapInPandas(
-        probe, "row_key long, doc_id long, dpos int, hash long, dvals array<string>"
+    hits = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t")).mapInPandas(
+        probe, "row_key long, doc_id string, dpos int, hash long, dvals array<string>"
     )
+    hits = hits.withColumn("doc_id", F.col("doc_id").cast("long"))
     aligned = (
         hits.join(own.select("hash", "form", "ipos", "ivals"), "hash")
         .groupBy("row_key", "doc_id", "form", (F.col("dpos") - F.col("ipos")).alias("diagonal"))

@@ -22,9 +22,10 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PIECES = (
-    "{id} {idtype}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+    "{id} string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
     "offset bigint, cost double"
 )
 
@@ -134,7 +135,7 @@ def pack(
     ``window_tokens`` bounds the tokens that a task holds at once. With ``keep_ids`` the ids of each
     piece come along as an array.
     """
-    schema = PIECES.format(id=f"`{id_col}`", idtype=docs.schema[id_col].dataType.simpleString()) + (", ids array<int>" if keep_ids else "")
+    schema = PIECES.format(id=f"`{id_col}`") + (", ids array<int>" if keep_ids else "")
 
     def flush(held: list, state: dict, last: bool) -> pd.DataFrame:
         out = []
@@ -172,7 +173,7 @@ def pack(
         state = {"next": TaskContext.get().partitionId() << 36}
         held, n = [], 0
         for b in batches:
-            for doc, text in zip(b["i"].astype(object).where(b["i"].notna(), None), b["t"]):
+            for doc, text in zip(b["i"], b["t"]):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 held.append((doc, ids))
                 n += len(ids)
@@ -182,4 +183,6 @@ def pack(
         if held:
             yield flush(held, state, True)
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text_col}` AS t").mapInPandas(run, schema)
+    #: Ids go as strings: pandas would round whole numbers beside a null.
+    out = docs.selectExpr(f"CAST(`{id_col}` AS STRING) AS i", f"`{text_col}` AS t").mapInPandas(run, schema)
+    return out.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))

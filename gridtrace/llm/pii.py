@@ -27,7 +27,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 DEFAULT_KEY = b"replace this key in production"
@@ -266,19 +266,23 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_K
 
     schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T.StringType())] if spans else [])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _feistel(key)
         for b in batches:
             texts, notes = [], []
-            for t in b[text_col].tolist():
+            for t in b.column(at).to_pylist():
                 found = find(t, f, back)
                 texts.append(replace(t, found) if found else t)
                 notes.append(",".join(f"{k}:{s}:{e}" for k, s, e, _ in found))
-            b[text_col] = pd.Series(texts, index=b.index, dtype=object)
+            cols, names = list(b.columns), list(b.schema.names)
+            cols[at] = pa.array(texts, type=b.schema.field(at).type)
             if spans:
-                b[spans] = notes
-            yield b
+                cols.append(pa.array(notes, type=pa.string()))
+                names.append(spans)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     if spans and spans in docs.columns:
         raise ValueError(f"there is a column {spans} already")
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtrace.llm import chat, decontam, embeddings, packing, pii, secrets, sharding, toxicity, warc
+from gridtrace.llm import chat, decontam, embeddings, ngram_join, packing, pii, secrets, sharding, toxicity, warc
 from gridtrace.session import new_path
 
 
@@ -13,6 +13,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity of 0.9 or more."""
+    rule = ngram_join.Rule(width=3, num=90, den=100)
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle, and the least id that each document reaches.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id
+  JOIN sizes a ON a.doc_id = x.doc_id JOIN sizes b ON b.doc_id = y.doc_id
+  WHERE a.n >= 0.9 * b.n AND b.n >= 0.9 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM sizes
+  UNION
+  SELECT pairs.b, reach.r FROM reach JOIN pairs ON reach.doc_id = pairs.a
+)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(min(r.r) AS BIGINT) AS component_id
+FROM sizes s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n
+"""
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +97,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_decontamination": op4_decontamination,
@@ -72,4 +108,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -135,7 +136,7 @@ SPAN = T.ArrayType(
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id and its spans, as an array of (kind, start, end) named ``spans``."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("spans", SPAN)])
+    schema = T.StructType([T.StructField(id_col, T.StringType()), T.StructField("spans", SPAN)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = automaton()
@@ -143,7 +144,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, auto)] for t in b["t"].tolist()]
             yield pd.DataFrame({id_col: b["i"], "spans": spans})
 
-    return docs.selectExpr(f"`{id_col}` AS i", f"`{text_col}` AS t").mapInPandas(run, schema)
+    #: Ids go as strings: pandas would round whole numbers beside a null.
+    out = docs.selectExpr(f"CAST(`{id_col}` AS STRING) AS i", f"`{text_col}` AS t").mapInPandas(run, schema)
+    return out.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))
 
 
 def digest_columns(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:

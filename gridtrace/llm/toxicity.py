@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -303,14 +304,15 @@ def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
     if score_col in docs.columns:
         raise ValueError(f"there is a column {score_col} already")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         look = Lookup(m.lexicon)
         for b in batches:
-            x = np.array([features(t or "", look) for t in b["text"]]).reshape(-1, len(NAMES))
-            b[score_col] = m.score(x)
-            yield b
+            x = np.array([features(t or "", look) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(x), type=pa.float64())], names=[*b.schema.names, score_col])
 
     from pyspark.sql import types as T
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
