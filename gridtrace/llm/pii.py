@@ -238,6 +238,8 @@ def find(text: str | None, f: Feistel, back: bool = False) -> list[tuple[str, in
             continue
         for kind, pattern, change in KINDS:
             m = pattern.match(text, s)
+            if m and any(a < m.end() and s < b for a, b in taken):
+                continue
             new = change(f, m, back) if m else None
             if new is not None:
                 found.append((kind, s, m.end(), new))
