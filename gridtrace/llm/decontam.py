@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -58,77 +59,99 @@ class Vocabulary(dict):
     MOST = 500_000
 
     def __init__(self):
-        self.hash: list[tuple[int, int]] = []
-        self.kind: list[tuple[int, int]] = []
-        self.ends: list[bool] = []
+        self.clear()
+        #: Of each row: the two hashes, the two kinds and whether a sentence ends there.
+        self.hash = np.zeros((1 << 14, 2), dtype=np.uint64)
+        self.kind = np.zeros((1 << 14, 2), dtype=np.int8)
+        self.ends = np.zeros(1 << 14, dtype=np.int8)
         self.text: list[str] = []
+        self.new: list[tuple[int, int, int, int, bool]] = []
 
     def __missing__(self, raw: str) -> int:
-        bare = raw.strip(_EDGE)
+        if raw.isalpha():
+            bare, ends = raw, False
+        else:
+            bare = raw.strip(_EDGE)
+            ends = raw[-1] in ".!?:" or (len(raw) > 1 and raw[-1] in "\"')»”" and raw[-2] in ".!?")
         low = bare.lower()
-        money = _MONEY.fullmatch(raw.strip(".,;:!?()[]\"'"))
-        q = _QUANTITY.fullmatch(low)
-        if not bare:
-            kind = (DROP, DROP)
-        elif money or (q and q[2] in UNITS):
-            kind = (QTY, QTY)
-        elif _NUMBER.fullmatch(low) or low in WORD_NUMBERS:
-            kind = (NUM, NUM)
-        elif low in UNITS:
-            kind = (UNIT, UNIT)
-        elif bare[0].isupper() and bare[1:].islower():
-            kind = (NAME, LITERAL)
+        h = h2 = xxhash.xxh3_64_intdigest(low)
+        kind = first = LITERAL
+        if low.isalpha():
+            if low in UNITS:
+                kind = first = UNIT
+            elif low in WORD_NUMBERS:
+                kind = first = NUM
+            elif low != bare and bare[0].isupper() and bare[1:].islower():
+                kind = NAME
+        elif not bare:
+            kind = first = DROP
         else:
-            kind = (LITERAL, LITERAL)
-        h = xxhash.xxh3_64_intdigest(low)
-        self.hash.append(tuple(_PLACE.get(k, h) for k in kind))
-        self.kind.append(kind)
-        self.ends.append(raw[-1] in ".!?:" or (len(raw) > 1 and raw[-1] in "\"')»”" and raw[-2] in ".!?"))
+            q = _QUANTITY.fullmatch(low)
+            if (q and q[2] in UNITS) or _MONEY.fullmatch(raw.strip(".,;:!?()[]\"'")):
+                kind = first = QTY
+            elif _NUMBER.fullmatch(low):
+                kind = first = NUM
+            elif bare[0].isupper() and bare[1:].islower():
+                kind = NAME
+        if kind:
+            h, h2 = _PLACE.get(kind, h), _PLACE.get(first, h)
+        n = self[raw] = len(self.text)
         self.text.append(low)
-        self[raw] = len(self.text) - 1
-        return self[raw]
+        self.new.append((h, h2, kind, first, ends))
+        return n
 
-    def fresh(self) -> None:
+    def rows_of(self, text: str) -> np.ndarray:
         if len(self) > self.MOST:
-            self.clear()
             self.__init__()
-
-
-def canonical(text: str, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes, kinds and slot values of a text's canonical words."""
-    words.fresh()
-    ids = np.fromiter(map(words.__getitem__, text.split()), dtype=np.int64)
-    if not len(ids):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-    uniq, inv = np.unique(ids, return_inverse=True)
-    hashes = np.array([words.hash[i] for i in uniq], dtype=np.uint64)
-    kinds = np.array([words.kind[i] for i in uniq], dtype=np.int8)
-    ends = np.array([words.ends[i] for i in uniq])[inv]
-    first = np.concatenate([[True], ends[:-1]]).astype(np.int8)
-    h, k = hashes[inv, first], kinds[inv, first]
-    before = np.concatenate([[LITERAL], k[:-1]])
-    unit = (k == UNIT) & (before == NUM)
-    k = k.copy()
-    h = h.copy()
-    number = np.flatnonzero(unit) - 1
-    k[number], h[number] = QTY, np.uint64(_PLACE[QTY])
-    keep = (k != DROP) & ~unit & ~((k == NAME) & (before == NAME))
+        ids = np.fromiter(map(self.__getitem__, text.split()), dtype=np.int64)
+        if self.new:
+            while len(self.text) > len(self.ends):
+                self.hash, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends))
+            at = slice(len(self.text) - len(self.new), len(self.text))
+            h, h2, kind, first, ends = zip(*self.new, strict=True)
+            self.hash[at, 0], self.hash[at, 1], self.kind[at, 0], self.kind[at, 1], self.ends[at] = h, h2, kind, first, ends
+            self.new = []
+        return ids
+
+
+@dataclass
+class Canonical:
+    """A text in canonical form. Slot values are made only for windows that are asked for."""
+
+    hashes: np.ndarray
+    kinds: np.ndarray
+    at: np.ndarray
+    ids: np.ndarray
+    raw: np.ndarray
+    words: Vocabulary
+
+    def values(self, start: int, width: int) -> list[str]:
+        out = []
+        for n in range(start, start + width):
+            if self.kinds[n] != LITERAL:
+                i = self.at[n]
+                value, j = self.words.text[self.ids[i]], i + 1
+                while j < len(self.raw) and (self.raw[j] == NAME if self.raw[i] == NAME else self.raw[i] == QTY and j == i + 1 and self.raw[j] == UNIT):
+                    value += " " + self.words.text[self.ids[j]]
+                    j += 1
+                out.append(value)
+        return out
+
+
+def canonical(text: str, words: Vocabulary) -> Canonical:
+    ids = words.rows_of(text)
+    first = np.ones(len(ids), dtype=np.int8)
+    first[1:] = words.ends[ids[:-1]]
+    h, k = words.hash[ids, first], words.kind[ids, first]
+    unit = np.flatnonzero((k[1:] == UNIT) & (k[:-1] == NUM))
+    k[unit], h[unit] = QTY, np.uint64(_PLACE[QTY])
+    keep = k != DROP
+    keep[unit + 1] = False
+    keep[1:] &= (k[1:] != NAME) | (k[:-1] != NAME)
     at = np.flatnonzero(keep)
-    slots = [""] * len(at)
-    for n in np.flatnonzero((k[at] != LITERAL) & (k[at] != UNIT)):
-        i = at[n]
-        value = words.text[ids[i]]
-        j = i + 1
-        if k[i] == NAME:
-            while j < len(k) and k[j] == NAME:
-                value += " " + words.text[ids[j]]
-                j += 1
-        elif k[i] == QTY and j < len(k) and unit[j]:
-            value += " " + words.text[ids[j]]
-        slots[n] = value
-    k = k[at]
-    k[k == UNIT] = LITERAL
-    return h[at], k, slots
+    kinds = k[at]
+    kinds[kinds == UNIT] = LITERAL
+    return Canonical(h[at], kinds, at, ids, k, words)
 
 
 def windows(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,12 +180,12 @@ def _explode(width: int, id_name: str):
         for b in batches:
             rows = []
             for item, text in zip(b["i"], b["t"]):
-                h, k, slots = canonical(text or "", words)
-                form = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
-                own = min(width, len(h))
+                c = canonical(text or "", words)
+                form = xxhash.xxh3_64_intdigest(c.hashes.tobytes()) - (1 << 63)
+                own = min(width, len(c.hashes))
                 if own:
-                    for pos, hash_ in zip(*windows(h, k, own), strict=True):
-                        rows.append((item, form, own, int(pos), int(hash_), [s for s in slots[pos : pos + own] if s]))
+                    for pos, hash_ in zip(*windows(c.hashes, c.kinds, own), strict=True):
+                        rows.append((item, form, own, int(pos), int(hash_), c.values(pos, own)))
             yield pd.DataFrame(rows, columns=[id_name, "form", "width", "ipos", "hash", "ivals"])
 
     return run
@@ -196,14 +219,14 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
         for b in batches:
             rows = []
             for key, doc, text in zip(b["row_key"], b["i"], b["t"]):
-                h, k, slots = canonical(text or "", vocab)
+                c = canonical(text or "", vocab)
                 for w in widths:
-                    pos, hashes = windows(h, k, w)
+                    pos, hashes = windows(c.hashes, c.kinds, w)
                     t = hashes.view(np.uint64) >> np.uint64(64 - BITS)
                     hit = np.flatnonzero(bits[(t >> np.uint64(6)).astype(np.int64)] >> (t & np.uint64(63)) & np.uint64(1))
                     for n in hit:
                         p = int(pos[n])
-                        rows.append((key, doc, p, int(hashes[n]), [s for s in slots[p : p + w] if s]))
+                        rows.append((key, doc, p, int(hashes[n]), c.values(p, w)))
             yield pd.DataFrame(rows, columns=["row_key", "doc_id", "dpos", "hash", "dvals"])
 
     hits = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t")).mapInPandas(
@@ -247,4 +270,7 @@ def pairs(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
 def keep_clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     bad = materialize(matches(docs, bench, **options).select("row_key").distinct(), "leaks")
-    return docs.withColumn("__key", row_key(docs)).join(bad.withColumnRenamed("row_key", "__key"), "__key", "left_anti").drop("__key")
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    return docs.withColumn(key, row_key(docs)).join(bad.withColumnRenamed("row_key", key), key, "left_anti").select(*docs.columns)
