@@ -263,9 +263,10 @@ def _feistel(key: bytes) -> Feistel:
 
 
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, back: bool = False, spans: str | None = "pii") -> DataFrame:
-    """The rows with pseudonyms in their text; ``spans`` names a column of kind:start:end in the old text."""
+    """The rows with pseudonyms in their text; ``spans`` names a column of kind:start:end in the old text, in place of any of that name."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(spans) if spans else docs
     schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T.StringType())] if spans else [])])
 
     at = docs.columns.index(text_col)
@@ -285,6 +286,4 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_K
                 names.append(spans)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    if spans and spans in docs.columns:
-        raise ValueError(f"there is a column {spans} already")
     return docs.mapInArrow(run, schema)

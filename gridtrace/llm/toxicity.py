@@ -294,16 +294,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: bool
     return Model(lexicon(None), Trees().fit(x, y), isotonic(margin, y))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
-    """The rows and their score."""
+    """The rows and their score. A column of that name that is there already is replaced."""
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    if score_col in docs.columns:
-        raise ValueError(f"there is a column {score_col} already")
-
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
