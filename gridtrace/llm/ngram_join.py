@@ -8,9 +8,10 @@ overlaps are counted exactly.
 1. A sketch of fixed size counts tokens, to tell common ones. It only sets an order of tokens (common
    ones last) and where texts are grouped; results don't depend on it.
 2. Texts of equal sets form a class; one row of each goes on.
-3. Groups: classes that share their least common token, or else their least token, in parts of at
-   most ``group_texts`` texts and ``group_tokens`` tokens. Members are linked exactly, and some of
-   each resulting set across the parts of a bucket.
+3. Groups: classes that share their least token (of texts that consist of common tokens mostly, as
+   the copies of a much copied text do: their least common one), in parts of at most ``group_texts``
+   texts and ``group_tokens`` tokens. Members are linked exactly, and some of each resulting set
+   across the parts of a bucket.
 4. Matrix: (token, group) for the tokens of each member's prefix. If two sets link, at least ``extra``
    of the tokens they share are among the first ``n - ceil(t n) + extra`` of either, so a text and a
    group that share fewer are below the bound. Texts probe groups that are as large as theirs or
@@ -50,10 +51,19 @@ CHUNK = 1 << 16
 SAMPLED = 62  # tokens whose hash is under 2 ** 62 are counted: most of any prefix
 
 
+#: Tables of a few whole numbers a row are broadcast if counted and no longer than this.
+BROADCAST = 500_000
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """The table, to be broadcast if it has at most ``most`` rows, and joined by a shuffle beyond."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Words(dict):
     """Word -> 64-bit hash, of bounded size."""
 
-    MOST = 1_000_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -302,7 +312,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), group_texts: int = 384
                     continue
                 r = ranks(s, sketch.value)
                 often = s[r > 0]
-                out.append((len(s), node_of(s), int((often if len(often) else s)[:1].view(np.int64)[0]), int(s[:1].view(np.int64)[0])))
+                kin = often if 2 * len(often) >= np.searchsorted(s, np.uint64(1 << SAMPLED)) > 0 else s
+                out.append((len(s), node_of(s), int(kin[:1].view(np.int64)[0]), int(s[:1].view(np.int64)[0])))
             cols = zip(*out, strict=True) if out else [()] * 4
             whole = {k: pd.array(c, dtype="Int64") for k, c in zip(("n", "node", "bucket", "fine"), cols, strict=True)}
             yield pd.DataFrame({"doc_id": b["i"].to_numpy(), "rk": b["rk"].to_numpy(), **whole})
@@ -324,7 +335,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), group_texts: int = 384
     def link_groups(members: DataFrame, some: int, what: str) -> DataFrame:
         members = members.select("node", "rk", "grp")
         sets = _sets(docs, rule, members, n_classes)
-        rows = members.join(sets, ["node", "rk"]).select("grp", F.lit(0).alias("kind"), "node", "tokens")
+        rows = sets.join(_small(members, BROADCAST), ["node", "rk"]).select("grp", F.lit(0).alias("kind"), "node", "tokens")
         return materialize(rows.repartition("grp").sortWithinPartitions("grp", "node").mapInPandas(_open_groups(rule, some), "a long, b long"), what)
 
     found = link_groups(first, leaders, "links")
@@ -344,7 +355,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), group_texts: int = 384
         held = state.join(salts, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("node", "rk", "grp", "salt", F.lit(0).alias("kind"))
         wanted = materialize(asked.union(held), "wanted")
         sets = _sets(docs, rule, wanted, n_classes)
-        rows_ = wanted.join(sets, ["node", "rk"]).select(F.xxhash64("grp", "salt").alias("grp"), "kind", "node", "tokens")
+        rows_ = sets.join(_small(wanted, BROADCAST), ["node", "rk"]).select(F.xxhash64("grp", "salt").alias("grp"), "kind", "node", "tokens")
         more = rows_.repartition("grp").sortWithinPartitions("grp", "kind", "node").mapInPandas(_open_groups(rule, 0), "a long, b long")
         known = connected_components(edges.union(materialize(more, "links")))
     named = classes.select("node", "doc_id").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -400,11 +411,14 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), broadcast_rows: int = 1_000_0
     """
     got = materialize(near_duplicates(docs, rule, **options).where("root IS NOT NULL"), "groups")
     best = got.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk"))["rk"].alias("best"))
-    marked = got.groupBy("root", "rk").agg(F.count("*").alias("c")).join(best, "root").selectExpr("rk AS __rk", "rk = best AS kept", "c")
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    marked = got.groupBy("root", "rk").agg(F.count("*").alias("c")).join(best, "root").selectExpr(f"rk AS {key}", "rk = best AS kept", "c")
     touched = materialize(marked.where("NOT kept OR c > 1"), "touched")
     small = touched.count() <= broadcast_rows
     hint = F.broadcast if small else (lambda x: x)
-    keyed = docs.withColumn("__rk", row_key(docs))
-    rest = keyed.join(hint(touched.select("__rk")), "__rk", "left_anti")
-    once = keyed.join(hint(touched.where("kept").select("__rk")), "__rk", "left_semi").dropDuplicates(["__rk"])
+    keyed = docs.withColumn(key, row_key(docs))
+    rest = keyed.join(hint(touched.select(key)), key, "left_anti")
+    once = keyed.join(hint(touched.where("kept").select(key)), key, "left_semi").dropDuplicates([key])
     return rest.unionByName(once).select(*docs.columns)
