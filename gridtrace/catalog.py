@@ -79,7 +79,7 @@ ENDS = PATHS + " SELECT particle_id, CAST(max(n) AS INT) AS num_steps, round(arg
 
 def run_trace(spark: SparkSession, sf_dir: str, n_blocks: int = 4, ghosts: int = 2, **options) -> tr.Result:
     grid = Grid.of(SIZE, n_blocks, ghosts)
-    plan = tr.Plan(grid, "rk1_2d", H, STEPS, **{"round_steps": 10, "dtype": "float64"} | options)
+    plan = tr.Plan(grid, "rk1_2d", H, STEPS, **{"round_steps": 20, "dtype": "float64"} | options)
     bricks = fields.to_bricks(line_field(spark, sf_dir), grid, ["u", "v"], "float64")
     return tr.trace(seeds.from_axes(spark, [XS, YS], grid, dtype="double"), bricks, plan)
 
@@ -97,17 +97,7 @@ def trace_baseline(spark, sf_dir):
 @query(ENDS)
 def trace_kdtree(spark, sf_dir):
     """k-d rebalancing of the unfinished after each round, bound to the ghost layers."""
-    grid = Grid.of(SIZE, 4, 2)
-    _, nodes = kdtree.constrained(None, grid, first=True)
-    owners = kdtree.owner_map(nodes, grid)
-    boxes = {n.path: n for n in nodes}
-    plan = tr.Plan(grid, "rk1_2d", H, STEPS, round_steps=10, dtype="float64", mode="kdtree", owners=owners)
-    field = line_field(spark, sf_dir)
-    regular = fields.to_bricks(field, grid, ["u", "v"], "float64")
-    renamed = regular.withColumn("gid", tr._map_literal(owners, F.col("gid"), -1))
-    start = seeds.from_axes(spark, [XS, YS], grid, dtype="double").withColumn("cur_gid", tr._owner(plan))
-    assert len(boxes) == grid.n_blocks
-    return ends(tr.trace(start, renamed, plan).particles)
+    return ends(run_trace(spark, sf_dir, mode="kdtree").particles)
 
 
 def field_array(spark, sf_dir) -> np.ndarray:
@@ -147,7 +137,7 @@ def trace_summary(spark, sf_dir):
 @query(PATHS + " SELECT CAST((n - 1) // 10 AS INT) AS round, CAST(10 - (n - 1) % 10 - 1 AS INT) AS phase, particle_id, round(x, 6) AS x, round(y, 6) AS y FROM p WHERE n > 0 AND (n - 1) % 10 IN (3, 6)")
 def snapshot_phases(spark, sf_dir):
     """Positions at 6 and 3 remaining steps of each round of ten."""
-    r = run_trace(spark, sf_dir, n_blocks=1, ghosts=0, marks=(6, 3))
+    r = run_trace(spark, sf_dir, n_blocks=1, ghosts=0, marks=(6, 3), round_steps=10)
     return r.snapshots.select("round", "phase", "particle_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -612,7 +602,7 @@ def worker_loads(spark, sf_dir):
     return metrics.workload(line_work(spark, sf_dir), "gid")
 
 
-@query("SELECT user_id AS worker, seq, CAST(secs - prior AS BIGINT) AS dt FROM (SELECT user_id, event_id AS seq, CAST(epoch(ts) AS BIGINT) AS secs, lag(CAST(epoch(ts) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events) WHERE prior IS NOT NULL")
+@query("SELECT user_id AS worker, seq, CAST(secs - prior AS BIGINT) AS dt FROM (SELECT user_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS secs, lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM events) WHERE prior IS NOT NULL")
 def timeline_deltas(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"))
     return metrics.timeline_deltas(e).select("worker", "seq", "dt")

@@ -9,7 +9,7 @@ are written to the shared folder, so a lost executor costs the running round at
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ class Plan:
     max_rounds: int = 10_000
     chunk: int = 200_000
     marks: tuple[int, ...] = ()  # budgets left at which positions are recorded
-    owners: dict[int, int] | None = None  # regular cell -> block, after a geometric k-d build
+    owners: dict[int, int] | None = None  # regular cell -> leaf, set by a k-d trace
 
     def step(self) -> Callable:
         return KERNELS[self.kernel] if isinstance(self.kernel, str) else self.kernel
@@ -105,6 +105,11 @@ def trace(particles: DataFrame, bricks: DataFrame, plan: Plan) -> Result:
     """Rounds until no particle is left. No particles give empty results; a round without any work is an error."""
     axes = list(AXES[: plan.grid.dims])
     cols = [*STATE, *axes, "finished", "status"]
+    if plan.mode == "kdtree":  # blocks are named by their leaf of the geometric build
+        _, nodes = kdtree.constrained(None, plan.grid, first=True)
+        plan = replace(plan, owners=kdtree.owner_map(nodes, plan.grid))
+        bricks = bricks.withColumn("gid", _map_literal(plan.owners, F.col("gid"), -1))
+        particles = particles.withColumn("cur_gid", _owner(plan))
     bricks = materialize(bricks, "bricks")
     done, snaps, rounds, leaves = [], [], [], []
     now = particles.select(*cols)
@@ -112,21 +117,29 @@ def trace(particles: DataFrame, bricks: DataFrame, plan: Plan) -> Result:
     for k in range(plan.max_rounds):
         if not counts:
             break
-        got = materialize(trace_round(now, bricks, plan, counts), "round")
+        got = materialize(trace_round(now, bricks, plan, counts).withColumn("next", _owner(plan)), "round")
         main = got.where("phase < 0")
-        stats = main.groupBy("cur_gid").agg(F.count("*").alias("n"), F.sum("work").alias("w"), F.sum(F.col("finished").cast("long")).alias("f")).collect()
-        rounds += [(k, r["cur_gid"], r["n"], r["w"], r["f"]) for r in stats]
-        if not sum(r["w"] + r["f"] for r in stats) and plan.mode == "baseline" and not _moves(main, plan):
+        left = (~F.col("finished")).cast("long")
+        by = main.groupBy("cur_gid", "next").agg(F.count("*").alias("n"), F.sum("work").alias("w"), F.sum(left).alias("left")).collect()  # a row for each pair of blocks
+        stats = pd.DataFrame([tuple(r) for r in by], columns=["gid", "next", "n", "w", "left"])
+        for g, s in stats.groupby("gid"):
+            rounds.append((k, g, int(s["n"].sum()), int(s["w"].sum()), int(s["n"].sum() - s["left"].sum())))
+        stays = not stats["w"].sum() and stats["left"].sum() == stats["n"].sum()
+        if stays and (plan.mode == "kdtree" or (stats["gid"] == stats["next"]).all()):
             raise RuntimeError("no particle went on: every divided dimension needs a ghost layer")
         done.append(main.where("finished").select(*cols))
         if plan.marks:
             snaps.append(got.where("phase >= 0").select(F.lit(k).alias("round"), "phase", "particle_id", "cur_gid", *axes))
-        if not sum(r["n"] - r["f"] for r in stats):
+        if not stats["left"].sum():
             break
-        now = main.where("NOT finished").select(*cols)
-        now, found = _route(now, plan)
-        leaves = found or leaves
-        counts = {r["cur_gid"]: r["count"] for r in now.groupBy("cur_gid").count().collect()}
+        now = main.where("NOT finished")
+        if plan.mode == "baseline":
+            now = now.withColumn("cur_gid", F.col("next")).select(*cols)
+            go = stats[stats["left"] > 0].groupby("next")["left"].sum()
+            counts = {int(g): int(n) for g, n in go.items()}
+        else:
+            now, leaves = _balance(now.select(*cols), plan)
+            counts = {r["cur_gid"]: r["count"] for r in now.groupBy("cur_gid").count().collect()}
     else:
         raise RuntimeError(f"not done after {plan.max_rounds} rounds")
     union = lambda parts: _union(parts) if parts else None
@@ -141,20 +154,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _moves(df: DataFrame, plan: Plan) -> bool:
-    axes = AXES[: plan.grid.dims]
-    return bool(df.where(~F.col("finished") & (_owner(plan) != F.col("cur_gid"))).select(*axes).head(1))
-
-
 def _owner(plan: Plan) -> Column:
     cell = plan.grid.owner([F.col(a) for a in AXES[: plan.grid.dims]])
     return _map_literal(plan.owners, cell, -1) if plan.owners else cell
 
 
-def _route(now: DataFrame, plan: Plan) -> tuple[DataFrame, list]:
-    """To the owners' blocks; or, by a k-d tree over the unfinished, to balanced ones."""
-    if plan.mode == "baseline":
-        return now.withColumn("cur_gid", _owner(plan)), []
+def _balance(now: DataFrame, plan: Plan) -> tuple[DataFrame, list]:
+    """The unfinished by a k-d tree over where they are, and its leaves."""
     axes = AXES[: plan.grid.dims]
     at, nodes = kdtree.constrained(now.withColumn("p", F.array(*(F.col(a).cast("double") for a in axes))), plan.grid, plan.constrained, bins=plan.bins)
     out = materialize(at.withColumn("cur_gid", F.col("node").cast("int")).drop("p", "node"), "balanced")
@@ -187,9 +193,7 @@ def trace_whole(particles: DataFrame, data: np.ndarray, plan: Plan, most_bytes:
 
 def intervals(particles: DataFrame, bricks: DataFrame, plan: Plan, n_rounds: int = 40) -> Result:
     """Quota mode: the step limit is shared out over so many rounds, each traced within a block at a time."""
-    import dataclasses
-
-    return trace(particles, bricks, dataclasses.replace(plan, round_steps=max(1, -(-plan.max_steps // n_rounds))))
+    return trace(particles, bricks, replace(plan, round_steps=max(1, -(-plan.max_steps // n_rounds))))
 
 
 def misplaced(particles: DataFrame, blocks: DataFrame, axes: list[str]) -> DataFrame:

@@ -19,7 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 
 #: Type codes of the format.
 CODES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
-SPARK = {"i1": "tinyint", "S1": "string", ">i2": "smallint", ">i4": "int", ">f4": "float", ">f8": "double", "u1": "smallint", ">u2": "int", ">u4": "bigint", ">i8": "bigint", ">u8": "decimal(20,0)"}
+SPARK = {
+    "i1": T.ByteType(), "S1": T.StringType(), ">i2": T.ShortType(), ">i4": T.IntegerType(), ">f4": T.FloatType(), ">f8": T.DoubleType(),
+    "u1": T.ShortType(), ">u2": T.IntegerType(), ">u4": T.LongType(), ">i8": T.LongType(), ">u8": T.DecimalType(20, 0),
+}
 _DIMENSION, _VARIABLE, _ATTRIBUTE = 10, 11, 12
 
 
@@ -278,8 +281,8 @@ class NetcdfSource(DataSource):
         with _open(self._paths()[0]) as f:
             h = read_header(f)
         names = self._names(h)
-        fields = [f"`{d}` int" for d in reversed(h.dim_names(names[0]))] + [f"`{n}` {SPARK[h.variables[n].dtype]}" for n in names]
-        return T.StructType.fromDDL(", ".join(fields))
+        axes = [T.StructField(d, T.IntegerType()) for d in reversed(h.dim_names(names[0]))]
+        return T.StructType(axes + [T.StructField(n, SPARK[h.variables[n].dtype]) for n in names])
 
     def reader(self, schema):
         with _open(self._paths()[0]) as f:

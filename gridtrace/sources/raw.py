@@ -177,8 +177,8 @@ class RawSource(DataSource):
 
     def schema(self):
         _, shape, dtype, _ = self._what()
-        kind = {"f4": "float", "f8": "double", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint"}[np.dtype(dtype).str[1:]]
-        return T.StructType.fromDDL(", ".join([*(f"{a} int" for a in "xyzt"[: len(shape)]), f"value {kind}"]))
+        kind = {"f4": T.FloatType, "f8": T.DoubleType, "i1": T.ByteType, "i2": T.ShortType, "i4": T.IntegerType, "i8": T.LongType}[np.dtype(dtype).str[1:]]
+        return T.StructType([*(T.StructField(a, T.IntegerType()) for a in "xyzt"[: len(shape)]), T.StructField("value", kind())])
 
     def reader(self, schema):
         return RawReader(*self._what(), int(self.options.get("slab_bytes", 8 << 20)))

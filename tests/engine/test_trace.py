@@ -82,7 +82,7 @@ def test_atmosphere_kernels():
 
 def run(spark, n_blocks, data, mode="baseline", kernel="rk1_2d", size=(33, 33), ghosts=2, **o):
     grid = Grid.of(size, n_blocks, ghosts)
-    plan = T.Plan(grid, kernel, 0.9, 60, round_steps=7, mode=mode, **o)
+    plan = T.Plan(grid, kernel, 0.9, 24, round_steps=8, mode=mode, **o)
     start = seeds.lattice(spark, (9,) * len(size), grid, exact=True)
     return grid, plan, T.trace(start, fields.bricks_from_array(spark, data, grid), plan)
 
@@ -135,7 +135,7 @@ def test_edge_cases(spark):
         kdtree.levels(6)
     with pytest.raises(RuntimeError):
         g0 = Grid.of((33, 33), 2, 0)
-        T.trace(seeds.lattice(spark, (9, 9), g0, exact=True), fields.bricks_from_array(spark, data, g0), T.Plan(g0, h=0.9, max_steps=60, round_steps=7, max_rounds=30))
+        T.trace(seeds.lattice(spark, (9, 9), g0, exact=True), fields.bricks_from_array(spark, data, g0), T.Plan(g0, h=0.9, max_steps=24, round_steps=8, max_rounds=6))
     with pytest.raises(ValueError):
         T.trace_whole(none, data, T.Plan(grid), most_bytes=10)
 
