@@ -14,6 +14,7 @@ import numpy as np
 
 from gridtrace.functions.interp import inside, lerp
 
+#: Status codes; metres a grid cell; seconds an hour and a month; grid columns; the earth's radius in metres.
 SUCC, OUT_OF_BOUND, NO_VALUE, CRITICAL_POINT = 0, 1, 2, 3
 HURRICANE_METRES = (1940.0 / 500 * 1000, 2004.0 / 500 * 1000, 19.8 / 100 * 1000)
 HOUR, MONTH = 3600.0, 2629744.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: What goes to a Python worker at once: bounded in rows and in bytes, as texts can be very long.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -39,8 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. What is written there goes when the driver ends."""
+    if not _MADE:  # registered once the JVM runs, so it is called before that ends
+        atexit.register(_remove_all)
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def _remove_all() -> None:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    for p in _MADE if sc else ():
+        with contextlib.suppress(Exception):
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
