@@ -48,7 +48,7 @@ from gridtrace.session import materialize
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 CHUNK = 1 << 16
-SAMPLED = 62  # tokens whose hash is under 2 ** 62 are counted: most of any prefix
+SAMPLED = 63  # tokens whose hash is under 2 ** 63 are counted: more than any prefix takes
 
 
 #: Tables of a few whole numbers a row are broadcast if counted and no longer than this.
@@ -129,7 +129,7 @@ def common_tokens(docs: DataFrame, rule: Rule, n_docs: int) -> np.ndarray:
 
     2 ** 16 to 2 ** 24 buckets, by the number of rows: at most 16 MB whatever the input.
     """
-    bits = min(24, max(16, math.ceil(math.log2(8 * max(1, n_docs)))))
+    bits = min(24, max(16, math.ceil(math.log2(16 * max(1, n_docs)))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, sums = Words(), np.zeros(1 << bits, dtype=np.int32)
