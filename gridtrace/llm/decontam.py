@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtrace.llm.workers import tidy
 from gridtrace.session import materialize
 
 LITERAL, NUM, UNIT, QTY, NAME, DROP = range(6)
@@ -56,7 +57,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class Vocabulary(dict):
     """Raw word -> row of its canonical forms, within and at the start of a sentence."""
 
-    MOST = 500_000
+    MOST = 100_000
 
     def __init__(self):
         self.clear()
@@ -196,7 +197,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
     spark = docs.sparkSession
     #: Ids go as strings: pandas would round whole numbers beside a null.
     items = bench.selectExpr("CAST(item_id AS STRING) AS i", "text AS t").mapInPandas(
-        _explode(width, "item_id"), "item_id string, form long, width int, ipos int, hash long, ivals array<string>"
+        tidy(_explode(width, "item_id")), "item_id string, form long, width int, ipos int, hash long, ivals array<string>"
     )
     items = items.withColumn("item_id", F.col("item_id").cast("long"))
     items = materialize(items, "items")
@@ -230,7 +231,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
             yield pd.DataFrame(rows, columns=["row_key", "doc_id", "dpos", "hash", "dvals"])
 
     hits = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t")).mapInPandas(
-        probe, "row_key long, doc_id string, dpos int, hash long, dvals array<string>"
+        tidy(probe), "row_key long, doc_id string, dpos int, hash long, dvals array<string>"
     )
     hits = hits.withColumn("doc_id", F.col("doc_id").cast("long"))
     aligned = (

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtrace.llm.components import connected_components, forest
+from gridtrace.llm.workers import tidy
 from gridtrace.session import materialize
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -148,7 +149,7 @@ def common_tokens(docs: DataFrame, rule: Rule, n_docs: int) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64) for x in g["sums"])
         return pd.DataFrame({"chunk": [key[0]], "sums": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
-    got = docs.select(F.col("text").alias("t")).mapInPandas(count, "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary")
+    got = docs.select(F.col("text").alias("t")).mapInPandas(tidy(count), "chunk int, sums binary").groupBy("chunk").applyInPandas(add, "chunk int, sums binary")
     total = np.zeros(1 << bits, dtype=np.int64)
     for chunk, sums in got.toLocalIterator():
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(sums, "<i4")
@@ -278,7 +279,7 @@ def _sets(docs: DataFrame, rule: Rule, keys: DataFrame, n: int) -> DataFrame:
             sets = [shingles(t, rule.width, words) for t in b["t"]]
             yield pd.DataFrame({"node": np.array([node_of(s) for s in sets], dtype=np.int64), "rk": b["rk"], "tokens": [s.tobytes() for s in sets]})
 
-    return docs.select(row_key(docs).alias("rk"), F.col("text").alias("t")).mapInPandas(run, "node long, rk long, tokens binary")
+    return docs.select(row_key(docs).alias("rk"), F.col("text").alias("t")).mapInPandas(tidy(run), "node long, rk long, tokens binary")
 
 
 def row_key(docs: DataFrame):
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), group_texts: int = 384
 
     #: Ids go as strings: pandas would round whole numbers beside a null.
     rows = docs.select(F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t"), row_key(docs).alias("rk")).mapInPandas(
-        describe, "doc_id string, rk long, n long, node long, bucket long, fine long"
+        tidy(describe), "doc_id string, rk long, n long, node long, bucket long, fine long"
     )
     rows = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "rows")
     classes = (
@@ -336,7 +337,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), group_texts: int = 384
         members = members.select("node", "rk", "grp")
         sets = _sets(docs, rule, members, n_classes)
         rows = sets.join(_small(members, BROADCAST), ["node", "rk"]).select("grp", F.lit(0).alias("kind"), "node", "tokens")
-        return materialize(rows.repartition("grp").sortWithinPartitions("grp", "node").mapInPandas(_open_groups(rule, some), "a long, b long"), what)
+        return materialize(rows.repartition("grp").sortWithinPartitions("grp", "node").mapInPandas(tidy(_open_groups(rule, some)), "a long, b long"), what)
 
     found = link_groups(first, leaders, "links")
     edges = found.where("b IS NOT NULL")
@@ -356,7 +357,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), group_texts: int = 384
         wanted = materialize(asked.union(held), "wanted")
         sets = _sets(docs, rule, wanted, n_classes)
         rows_ = sets.join(_small(wanted, BROADCAST), ["node", "rk"]).select(F.xxhash64("grp", "salt").alias("grp"), "kind", "node", "tokens")
-        more = rows_.repartition("grp").sortWithinPartitions("grp", "kind", "node").mapInPandas(_open_groups(rule, 0), "a long, b long")
+        more = rows_.repartition("grp").sortWithinPartitions("grp", "kind", "node").mapInPandas(tidy(_open_groups(rule, 0)), "a long, b long")
         known = connected_components(edges.union(materialize(more, "links")))
     named = classes.select("node", "doc_id").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "named")
@@ -383,7 +384,7 @@ def _probes(docs: DataFrame, rule: Rule, state: DataFrame, sketch, n_classes: in
                     out.append((rk, node_of(s), s[order].view(np.int64)))
             yield pd.DataFrame(out, columns=["rk", "node", "prefix"])
 
-    named = docs.select(row_key(docs).alias("rk"), F.col("text").alias("t")).mapInPandas(prefixes, "rk long, node long, prefix array<long>")
+    named = docs.select(row_key(docs).alias("rk"), F.col("text").alias("t")).mapInPandas(tidy(prefixes), "rk long, node long, prefix array<long>")
     tokens = (
         state.join(named, ["node", "rk"]).dropDuplicates(["node"])
         .select(F.explode("prefix").alias("token"), "node", "rk", "n", "grp", "size", "comp").repartition("token")

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtrace.llm.workers import tidy
+
 PIECES = (
     "{id} string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
     "offset bigint, cost double"
@@ -184,5 +186,5 @@ def pack(
             yield flush(held, state, True)
 
     #: Ids go as strings: pandas would round whole numbers beside a null.
-    out = docs.selectExpr(f"CAST(`{id_col}` AS STRING) AS i", f"`{text_col}` AS t").mapInPandas(run, schema)
+    out = docs.selectExpr(f"CAST(`{id_col}` AS STRING) AS i", f"`{text_col}` AS t").mapInPandas(tidy(run), schema)
     return out.withColumn(id_col, F.col(id_col).cast(docs.schema[id_col].dataType))

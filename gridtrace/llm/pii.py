@@ -30,6 +30,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridtrace.llm.workers import tidy
+
 DEFAULT_KEY = b"replace this key in production"
 _DAY0, _DAYS = datetime.date(1900, 1, 1), 73049
 
@@ -286,4 +288,4 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_K
                 names.append(spans)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

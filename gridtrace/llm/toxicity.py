@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridtrace.llm.workers import tidy
+
 FOLDS = 4
 ENTRIES = 4000
 #: A short built-in list of insults, English, French, German and Spanish.
@@ -60,7 +62,7 @@ def entries_of(word: str) -> list[str]:
 class Lookup(dict):
     """Word -> 0, 1 + entry, or -1 for a second-person word. Bounded."""
 
-    MOST = 500_000
+    MOST = 100_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
@@ -68,10 +70,13 @@ class Lookup(dict):
         self.names = [""]
         self.listed = [False]
 
-    def __missing__(self, word: str) -> int:
+    def make_room(self) -> None:
+        """Between texts only, so that codes stay valid within one."""
         if len(self) > self.MOST:
             self.clear()
             del self.weights[1:], self.names[1:], self.listed[1:]
+
+    def __missing__(self, word: str) -> int:
         best = max((self.lexicon[e], e) for e in entries_of(word) if e in self.lexicon) if any(e in self.lexicon for e in entries_of(word)) else None
         if best is None and word in INSULTS:
             best = (2.0, word)
@@ -91,8 +96,7 @@ def features(text: str, look: Lookup) -> list[float]:
     words = _WORD.findall(low)
     n, chars = len(words), len(text)
     per = 100.0 / max(n, 1)
-    if len(look) > look.MOST:
-        look.__missing__("")  # make room between texts, so that codes stay valid within one
+    look.make_room()
     codes = np.fromiter((look[w] for w in words), dtype=np.int64, count=n)
     at = np.flatnonzero(codes > 0)
     second = np.flatnonzero(codes < 0)
@@ -243,27 +247,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: bool
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(rows), "doc_id").select("t", "y", "fold")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, bytearray] = {}  # a byte for each fold and label
 
         def out():
-            return pd.DataFrame({"e": list(sums), **{f"c{i}": [int(v[i]) for v in sums.values()] for i in range(2 * FOLDS)}})
+            counts = np.frombuffer(b"".join(sums.values()), dtype=np.uint8).reshape(len(sums), 2 * FOLDS)
+            return pd.DataFrame({"e": list(sums), **{f"c{i}": counts[:, i].astype(np.int64) for i in range(2 * FOLDS)}})
 
+        held = 0
         for b in batches:
             for t, y, fold in zip(b["t"], b["y"], b["fold"]):
                 for e in {e for w in set(_WORD.findall(t.lower())) for e in entries_of(w)}:
                     if e not in sums:
-                        sums[e] = np.zeros(2 * FOLDS, dtype=np.int64)
+                        sums[e] = bytearray(2 * FOLDS)
                     sums[e][2 * fold + (y > 0)] += 1
-                if len(sums) > 300_000:
+                held += 1
+                if len(sums) > 100_000 or held == 255:
                     yield out()
                     sums.clear()
+                    held = 0
         if sums:
             yield out()
 
     cols = [f"c{i}" for i in range(2 * FOLDS)]
     toxic, clean = "+".join(cols[1::2]), "+".join(cols[0::2])
     counted = (
-        texts.mapInPandas(count, "e string, " + ", ".join(f"{c} long" for c in cols)).groupBy("e").agg(*(F.sum(c).alias(c) for c in cols))
+        texts.mapInPandas(tidy(count), "e string, " + ", ".join(f"{c} long" for c in cols)).groupBy("e").agg(*(F.sum(c).alias(c) for c in cols))
         .where(f"{toxic} >= 3").orderBy(F.expr(f"({toxic}) / ({clean} + 1.0)").desc(), F.expr(toxic).desc(), "e").limit(4 * ENTRIES).collect()
     )
     n = {(f, y): 0 for f in range(FOLDS) for y in (0, 1)}
@@ -284,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: bool
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "fold": b["fold"], "x": [features(t, looks[f]) for t, f in zip(b["t"], b["fold"])]})
 
-    got = texts.mapInPandas(featurise, "y int, fold int, x array<double>").toPandas()
+    got = texts.mapInPandas(tidy(featurise), "y int, fold int, x array<double>").toPandas()
     got = got.sort_values(["fold", "y", "x"], key=lambda c: c.map(tuple) if c.name == "x" else c)  # whatever order the rows came in
     x, y, fold = np.array(got["x"].tolist()), (got["y"].to_numpy() > 0).astype(float), got["fold"].to_numpy()
     margin = np.zeros(len(y))
@@ -320,4 +328,4 @@ def score(docs: DataFrame, model: Model, score_col: str = "score") -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

@@ -21,6 +21,14 @@ def test_features_see_obfuscation():
     assert len(X.features("", look)) == len(X.NAMES)
 
 
+def test_a_full_lookup_changes_nothing(monkeypatch):
+    texts = [f"w{i} idiot w{i + 1} you scum w{i + 2}" for i in range(50)]
+    want = [X.features(t, X.Lookup({"w3": 2.0})) for t in texts]
+    monkeypatch.setattr(X.Lookup, "MOST", 3)
+    look = X.Lookup({"w3": 2.0})
+    assert [X.features(t, look) for t in texts] == want
+
+
 def make(spark, n=600):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
