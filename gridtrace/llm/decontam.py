@@ -13,7 +13,9 @@
    one of them ``run`` words in a row.
 
 Items of equal canonical form are looked up once. Windows that more than ``shared`` different items
-have (a common preamble) tell nothing about which was copied and are not compared.
+have (a common passage or preamble) are compared too, but by the set of items that have them: a
+document meets such a set once, and its items are gone through only where the document's windows can
+suffice for one, or where it has rarer windows of the same item. ``shared`` changes the cost alone.
 
 Defined cases: null or empty texts and items hold nothing; items with fewer than three literal words
 are never found; repeated rows give one pair; null ids are carried along; empty tables give no rows.
@@ -204,8 +206,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
     #: One item stands for all of the same canonical form.
     stands = items.groupBy("form", "width").agg(F.min("item_id").alias("item_id"))
     own = items.join(stands, ["form", "width", "item_id"], "left_semi").dropDuplicates(["form", "ipos"])
-    common = own.groupBy("hash").agg(F.countDistinct("form").alias("n")).where(f"n > {shared}").select("hash")
-    own = materialize(own.join(common, "hash", "left_anti"), "item-windows")
+    own = materialize(own, "item-windows")
     n_windows = own.groupBy("form").agg(F.count("*").alias("item_windows"), F.max("width").alias("width"))
     widths = sorted(r[0] for r in own.select("width").distinct().collect())  # at most ``width`` of them
     top = F.shiftrightunsigned("hash", 64 - BITS)
@@ -233,10 +234,12 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
     hits = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t")).mapInPandas(
         tidy(probe), "row_key long, doc_id string, dpos int, hash long, dvals array<string>"
     )
-    hits = hits.withColumn("doc_id", F.col("doc_id").cast("long"))
+    hits = materialize(hits.withColumn("doc_id", F.col("doc_id").cast("long")), "hits")
+    #: A window must meet this often at least, in whatever places, for its item to be found.
+    need = n_windows.select("form", F.greatest(F.lit(1), F.least(F.ceil(F.lit(coverage) * F.col("item_windows")), run_words + 1 - F.col("width"))).alias("need"))
+    rows = _meetings(hits, own.select("hash", "form", "ipos", "ivals"), need, shared)
     aligned = (
-        hits.join(own.select("hash", "form", "ipos", "ivals"), "hash")
-        .groupBy("row_key", "doc_id", "form", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
+        rows.groupBy("row_key", "doc_id", "form", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
         .agg(
             F.collect_set("ipos").alias("at"),
             F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("ivals", "dvals")))).alias("vals"),
@@ -258,6 +261,28 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
     )
 
 
+def _meetings(hits: DataFrame, own: DataFrame, need: DataFrame, shared: int) -> DataFrame:
+    """Documents' and items' windows of equal hash. Of windows that many items have, those of items that can be found."""
+    held = own.groupBy("hash", "form").agg(F.count("*").alias("c"))
+    seeds = [F.bit_xor(F.xxhash64("form", "c", F.lit(i))) for i in range(2)]
+    sets = held.groupBy("hash").agg(F.count("*").alias("forms"), F.max("c").alias("most"), F.struct(*seeds).alias("set")).where(f"forms > {shared}")
+    sets = materialize(sets, "common-windows")
+    if sets.isEmpty():
+        return hits.join(own, "hash")
+    rare = hits.join(own.join(sets.select("hash"), "hash", "left_anti"), "hash")
+    one = sets.groupBy("set").agg(F.min("hash").alias("hash"))
+    members = materialize(held.join(one, "hash").join(need, "form").select("set", "form", "need"), "common-members")
+    met = hits.join(sets.select("hash", "set", "most"), "hash")
+    parts = materialize(met.select("row_key", "hash", "set", "most").distinct().groupBy("row_key", "set").agg(F.sum("most").alias("most")), "common-met")
+    bound = parts.groupBy("row_key").agg(F.sum("most").alias("bound"))
+    least = members.groupBy("set").agg(F.min("need").alias("least"))
+    whole = parts.join(bound, "row_key").join(least, "set").where("bound >= least").select("row_key", "set", "bound")
+    alone = whole.join(members, "set").where("bound >= need").select("row_key", "set", "form")
+    beside = rare.select("row_key", "form").distinct().join(members, "form").join(parts, ["row_key", "set"], "left_semi").select("row_key", "set", "form")
+    common = met.drop("most").join(alone.union(beside).distinct(), ["row_key", "set"]).join(own, ["hash", "form"])
+    return rare.unionByName(common.select(*rare.columns))
+
+
 def row_key(docs: DataFrame):
     """Equal for rows of equal id and text."""
     return F.xxhash64(F.col("doc_id").isNull(), docs["doc_id"], docs["text"])

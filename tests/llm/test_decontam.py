@@ -70,3 +70,15 @@ def test_query_against_brute_force(spark):
             want |= {(d, i) for i in grams.get(tuple(w[k : k + 13]), ())}
     got = {(r.doc_id, r.item_id) for r in op4_decontamination(spark, sf).collect()}
     assert want and got == want
+
+
+def test_passages_of_many_items_count(spark):
+    passage, preamble = text(70, 60), text(71, 10)
+    items = [(i, f"{passage} {text(100 + i, 12)}") for i in range(30)]  # 30 questions about one passage
+    items += [(100 + i, f"{preamble} {text(200 + i, 30)}") for i in range(30)]  # a short preamble: 3 windows
+    items += [(200 + i, f"{text(300 + i % 3, 9)} {passage[: len(passage) // 3]}") for i in range(3)]
+    half = " ".join(items[35][1].split()[:22])
+    docs = [(1, f"{text(80, 40)} {passage} {text(81, 40)}"), (2, f"{text(82, 40)} {preamble} {text(83, 40)}"), (3, half), (4, " ".join(items[40][1].split()[6:20])), (5, text(84, 90))]
+    want = {(1, i) for i in [*range(30), 200, 201, 202]} | {(3, 105), (4, 110)}
+    for shared in (1, 20, 1000):
+        assert found(spark, docs, items, shared=shared).keys() == want
