@@ -120,12 +120,47 @@ def _card(f, m, back):
     return _refill(m[0], body + luhn_digit(body))
 
 
+_IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 "
+        "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 "
+        "NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+
+
+def _iban_end(form: str) -> int | None:
+    """Where the number ends in a run of groups, as words in capitals may follow: by the country's length, else the longest valid."""
+    length = _IBAN_LENGTHS.get(form[:2])
+    ends = [len(form), *(i for i in range(len(form) - 1, 14, -1) if form[i] == " ")]
+    own = [i for i in ends if len(form[:i].replace(" ", "")) == length]
+    for i in own + (ends[:1] if length else ends):
+        s = form[:i].replace(" ", "")
+        if 15 <= len(s) <= 34 and iban_check(s[:2], s[4:]) == s[2:4]:
+            return i
+    return None
+
+
+class _Iban:
+    """The pattern, its matches cut to where the number ends."""
+
+    run = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+    def match(self, text: str, at: int) -> re.Match | None:
+        m = self.run.match(text, at)
+        end = _iban_end(m[0]) if m else None
+        return self.run.fullmatch(text, at, at + end) if end else None
+
+
 def _iban(f, m, back):
-    s = m[0].replace(" ", "")
-    if not 15 <= len(s) <= 34 or iban_check(s[:2], s[4:]) != s[2:4]:
-        return None
-    rest = _letters(f, "iban" + s[:2], s[4:], back)
-    return _refill(m[0], s[:2] + iban_check(s[:2], rest) + rest, str.isalnum)
+    s, tail = m[0].replace(" ", ""), _Iban.run.match(m.string, m.start())[0][len(m[0]) :]
+    rest = s[4:]
+    while True:  # what follows must not be taken for a part of the new number
+        rest = _letters(f, "iban" + s[:2], rest, back)
+        new = _refill(m[0], s[:2] + iban_check(s[:2], rest) + rest, str.isalnum)
+        if _iban_end(new + tail) == len(new):
+            return new
 
 
 def _ipv4(f, m, back):
@@ -200,10 +235,11 @@ def _phone(f, m, back):
 
 
 _END = r"(?![A-Za-z0-9])"
-KINDS: list[tuple[str, re.Pattern, Callable]] = [
+_DATE_END = rf"(?:(?=[Tt]\d\d)|{_END})"  # a time may follow
+KINDS: list[tuple[str, re.Pattern | _Iban, Callable]] = [
     ("ipv4", re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), _ipv4),
-    ("date", re.compile(r"(\d{4})([-/.])(\d\d)\2(\d\d)" + _END), _date),
-    ("date", re.compile(r"(\d\d)([-/.])(\d\d)\2(\d{4})" + _END), _date),
+    ("date", re.compile(r"(\d{4})([-/.])(\d\d)\2(\d\d)" + _DATE_END), _date),
+    ("date", re.compile(r"(\d\d)([-/.])(\d\d)\2(\d{4})" + _DATE_END), _date),
     ("ssn", re.compile(r"\d{3}-\d\d-\d{4}" + _END), _ssn),
     ("card", re.compile(r"\d{4}(?:[ -]\d{4}){2}(?:[ -]\d{1,7})" + _END), _card),
     ("card", re.compile(r"\d{4}[ -]\d{6}[ -]\d{5}" + _END), _card),
@@ -211,9 +247,10 @@ KINDS: list[tuple[str, re.Pattern, Callable]] = [
     ("phone", re.compile(r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}" + _END), _phone),
     ("phone", re.compile(r"\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}" + _END), _phone),
     ("phone", re.compile(r"\d{3}([.-])\d{3}\1\d{4}" + _END), _phone),
-    ("iban", re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END), _iban),
+    ("iban", _Iban(), _iban),
 ]
-_START = re.compile(r"(?<![A-Za-z0-9])(?:[+(]?\d|[A-Z]{2}\d\d)")
+#: Empty, so that after a sign the digit behind it is a start of its own.
+_START = re.compile(r"(?<![A-Za-z0-9])(?=[+(]?\d|[A-Z]{2}\d\d)")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 

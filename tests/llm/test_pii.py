@@ -96,3 +96,21 @@ def test_query_is_whole(spark):
     f = P.Feistel(P.DEFAULT_KEY)
     assert len(got) == len(old) and any(r.pii for r in got)
     assert all(r.text == P.replace(old[r.doc_id], P.find(old[r.doc_id], f)) and (r.pii or r.text == old[r.doc_id]) for r in got)
+
+
+def test_values_in_brackets_and_beside_words():
+    de, at = iban("DE", "370400440532013000"), iban("AT", "1904300234573201")
+    spaced = " ".join(at[i : i + 4] for i in range(0, 20, 4))
+    cases = [(f"({v})", v) for _, v in VALUES if v[0] not in "(+"] + [("+" + VALUES[1][1], VALUES[1][1])]
+    cases += [("(192.168.0.1)", "192.168.0.1"), ("(555-123-4567)", "555-123-4567"), ("at 2021-03-04T12:00:00Z", "2021-03-04")]
+    cases += [(f"pay {spaced} EUR now", spaced), (f"pay {spaced} EURO", spaced), (f"{spaced} TO JOHN", spaced), (f"{de} EUR", de)]
+    for text, value in cases:
+        found = P.find(text, F)
+        assert [text[s:e] for _, s, e, _ in found] == [value], text
+        out = P.replace(text, found)
+        assert out != text and P.replace(out, P.find(out, F, back=True)) == text
+    for i in range(300):  # also where a longer run would be valid by chance
+        v = iban("XX", f"{i:016d}")
+        text = " ".join(v[j : j + 4] for j in range(0, 20, 4)) + " EUR"
+        out = P.replace(text, P.find(text, F))
+        assert out != text and P.replace(out, P.find(out, F, back=True)) == text
