@@ -3,9 +3,10 @@
 A template is any function from a list of turns to a string. Successive prefixes of a conversation
 are rendered, and each output is compared with the one before it: what was added is the new turn's
 span. Where the earlier output is not a prefix of the later one the template has rewritten history,
-and the turn is marked so. A prefix is the last ``context`` turns and the new one, so that a
-conversation of any length streams through bounded memory; up to that many turns it is the whole
-conversation.
+and the turn is marked so. A prefix is the whole conversation so far, whatever its length, and one
+conversation is held at a time. Only for templates declared ``turn_local``, such as the built-in one,
+it is the last ``context`` turns: their output is that of each turn alone, so it makes no difference
+and a conversation of any length streams through bounded memory.
 
 Defined cases: a null text or role is empty; turns go by (turn, role, text), nulls first; rows of a
 null conversation id form one conversation; repeated rows are turns of their own; an empty table
@@ -49,6 +50,13 @@ def unescape_role(role: str) -> str:
     return unescape(role.replace("%0A", "\n").replace("%25", "%"))
 
 
+def turn_local(template: Template) -> Template:
+    """Declare that a template's output is the outputs of its turns, each on its own, one after the other."""
+    template.turn_local = True
+    return template
+
+
+@turn_local
 def chatml(turns: list[Turn]) -> str:
     """The built-in template."""
     return "".join(f"{START}{escape_role(r)}\n{escape(t)}{END}\n" for r, t in turns)
@@ -76,10 +84,11 @@ def mask_of(segment: str) -> tuple[int, int]:
 
 def render(turns: Iterable[Turn], template: Template = chatml, mask: Callable[[str], tuple[int, int]] = mask_of, context: int = 32) -> Iterator[Segment]:
     """The span of every turn, found by comparing the outputs of successive prefixes."""
-    window: deque[Turn] = deque(maxlen=context)
+    local = getattr(template, "turn_local", False)
+    window: deque[Turn] = deque(maxlen=context if local else None)
     before, at = "", 0
     for turn in turns:
-        slides = len(window) == context
+        slides = local and len(window) == context
         window.append(turn)
         if slides:
             before = template(list(window)[:-1])

@@ -70,3 +70,23 @@ def test_segments(spark):
     got = C.format_conversations(df).orderBy("seq").collect()
     assert "".join(r.segment for r in got) == C.chatml([("user", "a"), ("assistant", "b")])
     assert [r.segment[r.loss_start : r.loss_end] for r in got] == ["", "b"]
+
+
+def test_long_conversations_are_rendered_whole(spark):
+    def brief(turns):
+        """Tool turns lose their text once a user speaks; the first turn and the number of turns show; roles are checked from the start."""
+        assert turns[0][0] == "system"
+        last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=0)
+        head = f"{turns[0][1]}:" if len(turns) < 80 else f"{turns[0][1]} at length:"
+        return head + "".join(f"[{r}:{'' if r == 'tool' and i < last else t}]" for i, (r, t) in enumerate(turns))
+
+    turns = [("system", "be brief"), ("user", "go")] + [("tool", f"step {i}") for i in range(40)] + [("user", "and?")] + [("assistant", f"a{i}") for i in range(50)]
+    out, rewritten = "", []
+    for i, s in enumerate(C.render(turns, brief, lambda _: (0, 0))):
+        out = out[: s.start] + s.text
+        assert out == brief(turns[: i + 1])
+        rewritten += [i] * s.rewritten
+    assert rewritten == [42, 79] == C.rewrites_history(brief, turns)
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = C.format_conversations(df, brief, lambda _: (0, 0)).orderBy("seq").collect()
+    assert [r.seq for r in got if r.rewritten] == [42, 79] and got[42].start == len(brief(turns[:42]).split("step 0")[0])
