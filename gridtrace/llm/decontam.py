@@ -4,7 +4,9 @@
    number and its unit QTY, runs of capitalised words inside a sentence NAME. What stood there is the
    slot's value.
 2. Windows of ``width`` canonical words (items that are shorter: their whole length) are hashed.
-   Windows with fewer literal words than slots, or under three, are not used.
+   Windows with fewer literal words than slots, or under three, are not used. An item that has such
+   windows is also compared word for word, as a form of its own: windows of its plain words, whose
+   numbers and names must be the same.
 3. Documents' windows pass a bitmap of fixed size made from the benchmark's, then join on the hash.
 4. Matches on one diagonal are an alignment. Its slots must be consistent: a value of the item always
    meets the same value of the document. Then it counts, also if the values differ: a question asked
@@ -18,7 +20,7 @@ document meets such a set once, and its items are gone through only where the do
 suffice for one, or where it has rarer windows of the same item. ``shared`` changes the cost alone.
 
 Defined cases: null or empty texts and items hold nothing; items with fewer than three literal words
-are never found; repeated rows give one pair; null ids are carried along; empty tables give no rows.
+are found word for word only, however short; repeated rows give one pair; null ids are carried along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -67,8 +69,9 @@ class Vocabulary(dict):
         self.hash = np.zeros((1 << 14, 2), dtype=np.uint64)
         self.kind = np.zeros((1 << 14, 2), dtype=np.int8)
         self.ends = np.zeros(1 << 14, dtype=np.int8)
+        self.plain = np.zeros(1 << 14, dtype=np.uint64)
         self.text: list[str] = []
-        self.new: list[tuple[int, int, int, int, bool]] = []
+        self.new: list[tuple[int, int, int, int, bool, int]] = []
 
     def __missing__(self, raw: str) -> int:
         if raw.isalpha():
@@ -77,7 +80,7 @@ class Vocabulary(dict):
             bare = raw.strip(_EDGE)
             ends = raw[-1] in ".!?:" or (len(raw) > 1 and raw[-1] in "\"')»”" and raw[-2] in ".!?")
         low = bare.lower()
-        h = h2 = xxhash.xxh3_64_intdigest(low)
+        h = h2 = word = xxhash.xxh3_64_intdigest(low)
         kind = first = LITERAL
         if low.isalpha():
             if low in UNITS:
@@ -100,7 +103,7 @@ class Vocabulary(dict):
             h, h2 = _PLACE.get(kind, h), _PLACE.get(first, h)
         n = self[raw] = len(self.text)
         self.text.append(low)
-        self.new.append((h, h2, kind, first, ends))
+        self.new.append((h, h2, kind, first, ends, word))
         return n
 
     def rows_of(self, text: str) -> np.ndarray:
@@ -109,10 +112,11 @@ class Vocabulary(dict):
         ids = np.fromiter(map(self.__getitem__, text.split()), dtype=np.int64)
         if self.new:
             while len(self.text) > len(self.ends):
-                self.hash, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends))
+                self.hash, self.kind, self.ends, self.plain = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.kind, self.ends, self.plain))
             at = slice(len(self.text) - len(self.new), len(self.text))
-            h, h2, kind, first, ends = zip(*self.new, strict=True)
+            h, h2, kind, first, ends, word = zip(*self.new, strict=True)
             self.hash[at, 0], self.hash[at, 1], self.kind[at, 0], self.kind[at, 1], self.ends[at] = h, h2, kind, first, ends
+            self.plain[at] = np.array(word, dtype=np.uint64)
             self.new = []
         return ids
 
@@ -128,6 +132,10 @@ class Canonical:
     raw: np.ndarray
     words: Vocabulary
 
+    def plain(self) -> np.ndarray:
+        """The hashes of all words as they stand."""
+        return self.words.plain[self.ids[self.raw != DROP]]
+
     def values(self, start: int, width: int) -> list[str]:
         out = []
         for n in range(start, start + width):
@@ -157,18 +165,28 @@ def canonical(text: str, words: Vocabulary) -> Canonical:
     return Canonical(h[at], kinds, at, ids, k, words)
 
 
-def windows(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the usable windows of one width."""
+PLAIN = 1 << 32  # apart from any width
+
+
+def _hashed(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64(width))
+        out = np.full(n, np.uint64(seed + width))
         for i in range(width):
             out = out * _P + h[i : i + n]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
+    return out
+
+
+def windows(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the usable windows of one width."""
+    out = _hashed(h, width)
+    if not len(out):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     literal = np.concatenate([[0], np.cumsum(k == LITERAL)])
     literal = literal[width:] - literal[:-width]
     ok = (literal >= 3) & (2 * literal >= width)
@@ -187,9 +205,15 @@ def _explode(width: int, id_name: str):
                 form = xxhash.xxh3_64_intdigest(c.hashes.tobytes()) - (1 << 63)
                 own = min(width, len(c.hashes))
                 if own:
-                    for pos, hash_ in zip(*windows(c.hashes, c.kinds, own), strict=True):
-                        rows.append((item, form, own, int(pos), int(hash_), c.values(pos, own)))
-            yield pd.DataFrame(rows, columns=[id_name, "form", "width", "ipos", "hash", "ivals"])
+                    at, hashes = windows(c.hashes, c.kinds, own)
+                    for pos, hash_ in zip(at, hashes, strict=True):
+                        rows.append((item, form, own, False, int(pos), int(hash_), c.values(pos, own)))
+                    if len(at) < len(c.hashes) - own + 1:
+                        words_ = c.plain()
+                        form, own = xxhash.xxh3_64_intdigest(words_.tobytes(), seed=PLAIN) - (1 << 63), min(width, len(words_))
+                        for pos, hash_ in enumerate(_hashed(words_, own, PLAIN).view(np.int64)):
+                            rows.append((item, form, own, True, pos, int(hash_), []))
+            yield pd.DataFrame(rows, columns=[id_name, "form", "width", "plain", "ipos", "hash", "ivals"])
 
     return run
 
@@ -199,7 +223,7 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
     spark = docs.sparkSession
     #: Ids go as strings: pandas would round whole numbers beside a null.
     items = bench.selectExpr("CAST(item_id AS STRING) AS i", "text AS t").mapInPandas(
-        tidy(_explode(width, "item_id")), "item_id string, form long, width int, ipos int, hash long, ivals array<string>"
+        tidy(_explode(width, "item_id")), "item_id string, form long, width int, plain boolean, ipos int, hash long, ivals array<string>"
     )
     items = items.withColumn("item_id", F.col("item_id").cast("long"))
     items = materialize(items, "items")
@@ -208,7 +232,8 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
     own = items.join(stands, ["form", "width", "item_id"], "left_semi").dropDuplicates(["form", "ipos"])
     own = materialize(own, "item-windows")
     n_windows = own.groupBy("form").agg(F.count("*").alias("item_windows"), F.max("width").alias("width"))
-    widths = sorted(r[0] for r in own.select("width").distinct().collect())  # at most ``width`` of them
+    seen = own.select("plain", "width").distinct().collect()  # at most ``width`` of each
+    widths, plain_widths = (sorted(r.width for r in seen if r.plain == p) for p in (False, True))
     top = F.shiftrightunsigned("hash", 64 - BITS)
     words = own.select(F.shiftright(top, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - BITS}) % 64 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     bitmap = np.zeros(1 << (BITS - 6), dtype=np.int64)  # at most 8 MB, whatever the benchmark's size
@@ -218,17 +243,23 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, vocab = shared_bitmap.value, Vocabulary()
+
+        def hit_in(hashes: np.ndarray) -> np.ndarray:
+            t = hashes.view(np.uint64) >> np.uint64(64 - BITS)
+            return np.flatnonzero(bits[(t >> np.uint64(6)).astype(np.int64)] >> (t & np.uint64(63)) & np.uint64(1))
+
         for b in batches:
             rows = []
             for key, doc, text in zip(b["row_key"], b["i"], b["t"]):
                 c = canonical(text or "", vocab)
                 for w in widths:
                     pos, hashes = windows(c.hashes, c.kinds, w)
-                    t = hashes.view(np.uint64) >> np.uint64(64 - BITS)
-                    hit = np.flatnonzero(bits[(t >> np.uint64(6)).astype(np.int64)] >> (t & np.uint64(63)) & np.uint64(1))
-                    for n in hit:
+                    for n in hit_in(hashes):
                         p = int(pos[n])
                         rows.append((key, doc, p, int(hashes[n]), c.values(p, w)))
+                for w in plain_widths:
+                    hashes = _hashed(c.plain(), w, PLAIN).view(np.int64)
+                    rows += [(key, doc, int(n), int(hashes[n]), []) for n in hit_in(hashes)]
             yield pd.DataFrame(rows, columns=["row_key", "doc_id", "dpos", "hash", "dvals"])
 
     hits = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("string").alias("i"), F.col("text").alias("t")).mapInPandas(
@@ -256,8 +287,11 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
         .join(n_windows, "form")
         .where((F.col("matched") >= coverage * F.col("item_windows")) | (F.col("longest") + F.col("width") - 1 >= run_words))
     )
-    return found.join(stands.select("form", "item_id"), "form").select(
-        "row_key", "doc_id", "item_id", F.col("matched").cast("long"), (F.col("matched") / F.col("item_windows")).alias("coverage"), "reparameterised"
+    found = found.join(stands.select("form", "item_id"), "form").withColumn("coverage", F.col("matched") / F.col("item_windows"))
+    #: An item may be found in both its forms. What is found word for word is no other question.
+    best = F.max(F.struct("coverage", "matched"))
+    return found.groupBy("row_key", "doc_id", "item_id").agg(best.alias("best"), F.min("reparameterised").alias("reparameterised")).select(
+        "row_key", "doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), "best.coverage", "reparameterised"
     )
 
 

@@ -82,3 +82,10 @@ def test_passages_of_many_items_count(spark):
     want = {(1, i) for i in [*range(30), 200, 201, 202]} | {(3, 105), (4, 110)}
     for shared in (1, 20, 1000):
         assert found(spark, docs, items, shared=shared).keys() == want
+
+
+def test_items_of_numbers_and_names_are_found_word_for_word(spark):
+    items = [(1, "Solve 3 x + 7 = 22"), (2, "Anna 12, Bob 15, Carl 19, Dora 23"), (3, "the table 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 has one sum")]
+    docs = [(1, f"{text(1, 20)}. Please Solve 3 x + 7 = 22 now"), (2, f"{text(2, 20)} Eve 3, Anna 12, Bob 15, Carl 19, Dora 23 {text(3, 9)}"), (3, "so 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 it goes")]
+    docs += [(4, "Solve 4 x + 9 = 25"), (5, "Anna 13, Bob 15, Carl 19, Dora 23"), (6, "the table 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 has a sum")]
+    assert found(spark, docs, items).keys() == {(1, 1), (2, 2), (3, 3)}
