@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +32,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
+    Only where that is unset and all runs in one process, as in tests, a temporary folder is made and
+    set; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="gridtrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -52,16 +58,32 @@ def new_path(spark: SparkSession, what: str) -> str:
     return _MADE[-1]
 
 
-def _remove_all() -> None:
+def _remove(paths: list[str]) -> None:
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    for p in _MADE if sc else ():
+    for p in paths if sc else ():
         with contextlib.suppress(Exception):
             path = sc._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _remove_all() -> None:
+    _remove(_MADE)
+
+
+#: Folder of each step, by its frame.
+_STEPS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of steps that nothing will read again: what was made of them is written."""
+    paths = [p for f in frames if (p := _STEPS.pop(f, None))]
+    _remove(paths)
+    for p in paths:
+        _MADE.remove(p)
+
+
 def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     """Cut the lineage: write Parquet to the shared folder and read it back.
 
@@ -70,4 +92,6 @@ def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STEPS[out] = path
+    return out
