@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, similarity of 0.9 or more."""
     rule = ngram_join.Rule(width=3, num=90, den=100)
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), rule).select("doc_id", "n_shingles", "n_links", "component_id")
 
 
 #: All pairs that share a shingle, and the least id that each document reaches.
@@ -43,7 +43,8 @@ reach AS (
   UNION
   SELECT pairs.b, reach.r FROM reach JOIN pairs ON reach.doc_id = pairs.a
 )
-SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(min(r.r) AS BIGINT) AS component_id
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(min(r.r) AS BIGINT) AS component_id,
+  CAST(coalesce((SELECT count(*) FROM pairs p WHERE p.a = s.doc_id), 0) AS BIGINT) AS n_links
 FROM sizes s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.n
 """
 

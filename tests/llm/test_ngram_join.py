@@ -18,7 +18,7 @@ def brute(rows, rule):
         return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
     sets = [shingle_set(t) for _, t in rows]
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while parent[i] != i:
@@ -31,18 +31,20 @@ def brute(rows, rule):
                 c = len(sets[i] & sets[j])
                 if rule.den * c >= rule.num * (len(sets[i]) + len(sets[j]) - c):
                     a, b = root(i), root(j)
+                    links[i] += 1
+                    links[j] += 1
                     parent[max(a, b)] = min(a, b)
     least = {}
     for i, (d, _) in enumerate(rows):
         r = root(i)
         if d is not None:
             least[r] = min(least.get(r, d), d)
-    return sorted(((d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
+    return sorted(((d, len(sets[i]), links[i], least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
 def got(spark, rows, rule, **options):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")
-    out = N.near_duplicates(df, rule, **options).select("doc_id", "n_shingles", "component_id").collect()
+    out = N.near_duplicates(df, rule, **options).select("doc_id", "n_shingles", "n_links", "component_id").collect()
     return sorted((tuple(r) for r in out), key=str)
 
 
@@ -70,7 +72,7 @@ def corpus(seed, n=160):
 
 
 @pytest.mark.parametrize("rule", [N.Rule(3, 90, 100), N.Rule(5, 80, 100)])
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"group_texts": 5, "leaders": 1, "salt_texts": 3}), (3, {"group_tokens": 300, "leaders": 0})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"group_texts": 5, "salt_texts": 3}), (3, {"group_tokens": 300}), (4, {"most_keys": 0, "group_texts": 40})])
 def test_as_by_all_pairs(spark, rule, seed, options):
     rows = corpus(seed)
     assert got(spark, rows, rule, **options) == brute(rows, rule)
@@ -105,8 +107,23 @@ def test_query_against_all_pairs(spark):
 def test_union_bound_never_loses_a_member():
     rule, rng = N.Rule(5, 80, 100), np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
-    members = [(i, np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 2**63, 5, dtype=np.uint64)]))) for i in range(20)]
-    index = N.Index(members)
-    for _, q in members:
-        want = [i for i, s in members if rule.links(len(np.intersect1d(q, s)), len(q), len(s))]
-        assert index.linked(q, rule).tolist() == want
+    members = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(40)]
+    index = N.Index(np.arange(40), np.ones(40, dtype=np.int64), members)
+    assert len(index.dense)
+    for q, found in zip(members, index.linked(members, rule), strict=True):
+        want = [i for i, s in enumerate(members) if rule.links(len(np.intersect1d(q, s)), len(q), len(s))]
+        assert found.tolist() == want
+
+
+def test_near_copies_of_one_text_are_cut_to_groups(spark):
+    """5000 near copies, all of one bucket: no group holds more than it may, and every link is counted."""
+    rule, cap = N.Rule(3, 90, 100), 384
+    base = " ".join(f"c{i}" for i in range(120))
+    df = spark.createDataFrame([(i, f"{base} own{i}") for i in range(5000)], "doc_id long, text string").repartition(8)  # each pair shares 118 of 120 shingles
+    out = N.near_duplicates(df, rule, group_texts=cap).select("n_links", "component_id").distinct().collect()
+    assert [tuple(r) for r in out] == [(4999, 0)]
+    prefixes = spark.range(5000).selectExpr("xxhash64(id) AS node", "120L AS n", "7L AS bucket", "array(id) AS prefix")
+    sizes = [r["count"] for r in N._grouped(prefixes, cap, 1 << 20).groupBy("grp").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= cap
+    tokens = [r.s for r in N._grouped(prefixes, 1 << 20, 60_000).groupBy("grp").agg({"n": "sum"}).toDF("grp", "s").collect()]
+    assert sum(tokens) == 600_000 and max(tokens) <= 60_000
