@@ -12,15 +12,18 @@
    meets the same value of the document. Then it counts, also if the values differ: a question asked
    anew with other numbers or names.
 5. A document holds an item if its consistent alignments cover ``coverage`` of the item's windows, or
-   one of them ``run`` words in a row.
+   one of them ``run_words`` words in a row, without a gap.
 
-Items of equal canonical form are looked up once. Windows that more than ``shared`` different items
+Items of equal canonical form, with equal values in the same slots, are looked up once; then each of
+them makes a pair, with its own values compared. Windows that more than ``shared`` different items
 have (a common passage or preamble) are compared too, but by the set of items that have them: a
 document meets such a set once, and its items are gone through only where the document's windows can
 suffice for one, or where it has rarer windows of the same item. ``shared`` changes the cost alone.
 
 Defined cases: null or empty texts and items hold nothing; items with fewer than three literal words
-are found word for word only, however short; repeated rows give one pair; null ids are carried along; empty tables give no rows.
+are found word for word only, however short; very long texts are gone through whole; items that match
+equally well all make pairs; repeated rows give one pair; null ids are carried along; empty tables
+give no rows; ``keep_clean`` returns all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -187,14 +190,19 @@ def windows(h: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.nd
     out = _hashed(h, width)
     if not len(out):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ok = usable(k, width)
+    return np.flatnonzero(ok), out[ok].view(np.int64)
+
+
+def usable(k: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have enough literal words."""
     literal = np.concatenate([[0], np.cumsum(k == LITERAL)])
     literal = literal[width:] - literal[:-width]
-    ok = (literal >= 3) & (2 * literal >= width)
-    return np.flatnonzero(ok), out[ok].view(np.int64)
+    return (literal >= 3) & (2 * literal >= width)
 
 
-def _explode(width: int, id_name: str):
-    """Benchmark items -> their windows."""
+def _explode(width: int):
+    """Benchmark items -> their windows. ``form``: hash of the canonical words and of which slots are equal; ``vals``: of all slot values."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Vocabulary()
@@ -202,36 +210,43 @@ def _explode(width: int, id_name: str):
             rows = []
             for item, text in zip(b["i"], b["t"]):
                 c = canonical(text or "", words)
-                form = xxhash.xxh3_64_intdigest(c.hashes.tobytes()) - (1 << 63)
                 own = min(width, len(c.hashes))
                 if own:
+                    first: dict[str, int] = {}
+                    slots = c.values(0, len(c.hashes))
+                    equal = np.array([first.setdefault(v, i) for i, v in enumerate(slots)], dtype=np.int64)
+                    form = xxhash.xxh3_64_intdigest(c.hashes.tobytes() + equal.tobytes()) - (1 << 63)
+                    vals = xxhash.xxh3_64_intdigest("\0".join(slots)) - (1 << 63)
                     at, hashes = windows(c.hashes, c.kinds, own)
                     for pos, hash_ in zip(at, hashes, strict=True):
-                        rows.append((item, form, own, False, int(pos), int(hash_), c.values(pos, own)))
+                        rows.append((item, form, vals, own, False, int(pos), int(hash_), c.values(pos, own)))
                     if len(at) < len(c.hashes) - own + 1:
                         words_ = c.plain()
                         form, own = xxhash.xxh3_64_intdigest(words_.tobytes(), seed=PLAIN) - (1 << 63), min(width, len(words_))
                         for pos, hash_ in enumerate(_hashed(words_, own, PLAIN).view(np.int64)):
-                            rows.append((item, form, own, True, pos, int(hash_), []))
-            yield pd.DataFrame(rows, columns=[id_name, "form", "width", "plain", "ipos", "hash", "ivals"])
+                            rows.append((item, form, 0, own, True, pos, int(hash_), []))
+            yield pd.DataFrame(rows, columns=["item_id", "form", "vals", "width", "plain", "ipos", "hash", "ivals"])
 
     return run
 
 
-def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float = 0.5, run_words: int = 13, shared: int = 20) -> DataFrame:
-    """Pairs: row_key, doc_id, item_id, matched windows, coverage and whether slot values differ."""
+#: Words of the longest stretch that windows at the places ``at`` cover without a gap.
+_LONGEST = """aggregate(sort_array(at), named_struct('f', -1, 'p', -1, 'b', 0), (s, x) -> named_struct(
+  'f', IF(s.f < 0 OR x - s.p > width, x, s.f), 'p', x, 'b', greatest(s.b, x + width - IF(s.f < 0 OR x - s.p > width, x, s.f))), s -> s.b)"""
+
+
+def _found(docs: DataFrame, bench: DataFrame, width: int, coverage: float, run_words: int, shared: int) -> tuple[DataFrame, DataFrame]:
+    """Documents and the forms that they hold; and the windows of all items."""
     spark = docs.sparkSession
     #: Ids go as strings: pandas would round whole numbers beside a null.
     items = bench.selectExpr("CAST(item_id AS STRING) AS i", "text AS t").mapInPandas(
-        tidy(_explode(width, "item_id")), "item_id string, form long, width int, plain boolean, ipos int, hash long, ivals array<string>"
+        tidy(_explode(width)), "item_id string, form long, vals long, width int, plain boolean, ipos int, hash long, ivals array<string>"
     )
-    items = items.withColumn("item_id", F.col("item_id").cast("long"))
-    items = materialize(items, "items")
-    #: One item stands for all of the same canonical form.
-    stands = items.groupBy("form", "width").agg(F.min("item_id").alias("item_id"))
-    own = items.join(stands, ["form", "width", "item_id"], "left_semi").dropDuplicates(["form", "ipos"])
-    own = materialize(own, "item-windows")
-    n_windows = own.groupBy("form").agg(F.count("*").alias("item_windows"), F.max("width").alias("width"))
+    items = materialize(items.withColumn("item_id", F.col("item_id").cast("long")), "items")
+    #: One item stands for all of the same form: whether slots are consistent is the same for all.
+    stands = items.groupBy("form").agg(F.min("vals").alias("vals"))
+    own = materialize(items.join(stands, ["form", "vals"], "left_semi").dropDuplicates(["form", "ipos"]), "item-windows")
+    n_windows = own.groupBy("form").agg(F.count("*").alias("item_windows"), F.max("width").alias("width"), (F.max("ipos") - F.min("ipos") + 1 > F.count("*")).alias("gaps"))
     seen = own.select("plain", "width").distinct().collect()  # at most ``width`` of each
     widths, plain_widths = (sorted(r.width for r in seen if r.plain == p) for p in (False, True))
     top = F.shiftrightunsigned("hash", 64 - BITS)
@@ -253,12 +268,14 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
             for key, doc, text in zip(b["row_key"], b["i"], b["t"]):
                 c = canonical(text or "", vocab)
                 for w in widths:
-                    pos, hashes = windows(c.hashes, c.kinds, w)
-                    for n in hit_in(hashes):
-                        p = int(pos[n])
-                        rows.append((key, doc, p, int(hashes[n]), c.values(p, w)))
+                    hashes = _hashed(c.hashes, w).view(np.int64)
+                    hit = hit_in(hashes)
+                    if len(hit):
+                        hit = hit[usable(c.kinds, w)[hit]]
+                    rows += [(key, doc, int(p), int(hashes[p]), c.values(p, w)) for p in hit]
+                plain = c.plain() if plain_widths else None
                 for w in plain_widths:
-                    hashes = _hashed(c.plain(), w, PLAIN).view(np.int64)
+                    hashes = _hashed(plain, w, PLAIN).view(np.int64)
                     rows += [(key, doc, int(n), int(hashes[n]), []) for n in hit_in(hashes)]
             yield pd.DataFrame(rows, columns=["row_key", "doc_id", "dpos", "hash", "dvals"])
 
@@ -266,28 +283,46 @@ def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float =
         tidy(probe), "row_key long, doc_id string, dpos int, hash long, dvals array<string>"
     )
     hits = materialize(hits.withColumn("doc_id", F.col("doc_id").cast("long")), "hits")
-    #: A window must meet this often at least, in whatever places, for its item to be found.
-    need = n_windows.select("form", F.greatest(F.lit(1), F.least(F.ceil(F.lit(coverage) * F.col("item_windows")), run_words + 1 - F.col("width"))).alias("need"))
+    #: Windows that must be met at least, in whatever places, for an item to be found. Without gaps a stretch has a window at each place.
+    stretch = F.when(F.col("gaps"), F.ceil(F.lit(run_words) / F.col("width"))).otherwise(run_words + 1 - F.col("width"))
+    need = n_windows.select("form", F.greatest(F.lit(1), F.least(F.ceil(F.lit(coverage) * F.col("item_windows")), stretch)).alias("need"))
     rows = _meetings(hits, own.select("hash", "form", "ipos", "ivals"), need, shared)
     aligned = (
         rows.groupBy("row_key", "doc_id", "form", (F.col("dpos") - F.col("ipos")).alias("diagonal"))
         .agg(
             F.collect_set("ipos").alias("at"),
+            F.collect_set(F.xxhash64("ipos", "dvals")).alias("keys"),
             F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("ivals", "dvals")))).alias("vals"),
         )
         .where(F.size("vals") == F.size(F.array_distinct(F.col("vals.ivals"))))
+        .join(n_windows.drop("gaps"), "form")
+        .withColumn("longest", F.expr(_LONGEST))
     )
+    alone = (F.size("at") >= coverage * F.col("item_windows")) | (F.col("longest") >= run_words)
     found = (
-        aligned.groupBy("row_key", "doc_id", "form")
+        aligned.groupBy("row_key", "doc_id", "form", "item_windows")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("matched"),
-            F.max(F.size("at")).alias("longest"),
-            F.max(F.exists("vals", lambda v: v["ivals"] != v["dvals"])).alias("reparameterised"),
+            F.max("longest").alias("longest"),
+            F.collect_list(F.struct(alone.alias("alone"), "keys")).alias("alignments"),
         )
-        .join(n_windows, "form")
-        .where((F.col("matched") >= coverage * F.col("item_windows")) | (F.col("longest") + F.col("width") - 1 >= run_words))
+        .where((F.col("matched") >= coverage * F.col("item_windows")) | (F.col("longest") >= run_words))
     )
-    found = found.join(stands.select("form", "item_id"), "form").withColumn("coverage", F.col("matched") / F.col("item_windows"))
+    return found, items
+
+
+def matches(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float = 0.5, run_words: int = 13, shared: int = 20) -> DataFrame:
+    """Pairs: row_key, doc_id, item_id, matched windows, coverage and whether slot values differ from the item's.
+
+    They don't if an alignment that is enough by itself has the item's values, or if all alignments have.
+    """
+    found, items = _found(docs, bench, width, coverage, run_words, shared)
+    members = items.groupBy("form", "item_id", "vals").agg(F.collect_set(F.xxhash64("ipos", "ivals")).alias("own"))
+    differs = "size(array_except(a.keys, own)) > 0"
+    found = (
+        found.join(members, "form").withColumn("coverage", F.col("matched") / F.col("item_windows"))
+        .withColumn("reparameterised", F.expr(f"exists(alignments, a -> {differs}) AND NOT exists(alignments, a -> a.alone AND NOT {differs})"))
+    )
     #: An item may be found in both its forms. What is found word for word is no other question.
     best = F.max(F.struct("coverage", "matched"))
     return found.groupBy("row_key", "doc_id", "item_id").agg(best.alias("best"), F.min("reparameterised").alias("reparameterised")).select(
@@ -327,9 +362,10 @@ def pairs(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     return matches(docs, bench, **options).drop("row_key").distinct()
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+def keep_clean(docs: DataFrame, bench: DataFrame, width: int = 8, coverage: float = 0.5, run_words: int = 13, shared: int = 20) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    bad = materialize(matches(docs, bench, **options).select("row_key").distinct(), "leaks")
+    found, _ = _found(docs, bench, width, coverage, run_words, shared)
+    bad = materialize(found.select("row_key").distinct(), "leaks")
     key = "row_key"
     while key in docs.columns:
         key += "_"
