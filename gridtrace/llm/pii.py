@@ -4,7 +4,8 @@ Numbers and dates are found by their form and must be valid (Luhn or mod-97 chec
 under 256, dates of the calendar). The value is ranked within its format, permuted there by a keyed
 Feistel network with cycle walking, and written back in the same form with right check digits. The
 permutation depends on the key, the kind and the format alone, so equal values stay equal across
-documents, in whatever way they are spaced, and the key's holder can reverse it.
+documents, in whatever way they are spaced, and the key's holder can reverse it. A phone with and
+without its country code, and a day with slashes and without, are values of different formats.
 
 kind   what is permuted                                what stays
 email  letters and digits of the local part and host   case, length, signs, the last host label
@@ -15,8 +16,13 @@ date   the day, 1900-01-01 to 2099-12-31               order, separators
 ssn    nine digits of valid areas                      dashes
 phone  digits after the country code                   country code, separators
 
-Defined cases: null and empty texts stay as they are; invalid numbers stay; repeated rows get equal
-results; other columns are carried along unchanged.
+The key is given or taken from ``spark.gridtrace.pii.key``; without one there is an error.
+
+Defined cases: null and empty texts stay as they are; invalid numbers stay, as do addresses with
+leading zeros; very long texts are gone through whole, in time that grows with their length; of kinds
+that fit at one place the first listed is taken, and e-mail addresses go before all; repeated rows
+get equal results; other columns are carried along unchanged, but one named as ``spans`` is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 
 from gridtrace.llm.workers import tidy
 
-DEFAULT_KEY = b"replace this key in production"
+KEY = "spark.gridtrace.pii.key"
 _DAY0, _DAYS = datetime.date(1900, 1, 1), 73049
 
 
@@ -165,7 +171,7 @@ def _iban(f, m, back):
 
 def _ipv4(f, m, back):
     parts = [int(x) for x in m[0].split(".")]
-    if any(x > 255 for x in parts):
+    if any(x > 255 for x in parts) or ".".join(map(str, parts)) != m[0]:
         return None
     x = f.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ipv4", back)
     return ".".join(map(str, x.to_bytes(4, "big")))
@@ -195,7 +201,7 @@ def _date(f, m, back):
         else:
             known = None
         while True:
-            day = f.permute(day, _DAYS, f"date/{order if known is not True else 'mdy'}", back)
+            day = f.permute(day, _DAYS, "date" if known is None else f"date/{order if known is not True else 'mdy'}", back)
             new = _DAY0 + datetime.timedelta(days=day)
             if known is None or (new.day <= 12) == known:
                 break
@@ -270,14 +276,17 @@ def find(text: str | None, f: Feistel, back: bool = False) -> list[tuple[str, in
             found.append(("email", s, m.end(), _email(f, m, back)))
         at = text.find("@", max(at + 1, m.end() if m else 0))
     taken = [(s, e) for _, s, e, _ in found]
-    free = 0
+    taken.append((len(text) + 1, len(text) + 1))
+    free = near = 0
     for start in _START.finditer(text):
         s = start.start()
-        if s < free or any(a <= s < b for a, b in taken):
+        while taken[near][1] <= s:
+            near += 1
+        if s < free or taken[near][0] <= s:
             continue
         for kind, pattern, change in KINDS:
             m = pattern.match(text, s)
-            if m and any(a < m.end() and s < b for a, b in taken):
+            if m and taken[near][0] < m.end():
                 continue
             new = change(f, m, back) if m else None
             if new is not None:
@@ -301,10 +310,19 @@ def _feistel(key: bytes) -> Feistel:
     return Feistel(key)
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, back: bool = False, spans: str | None = "pii") -> DataFrame:
+def key_of(docs: DataFrame) -> bytes:
+    """The key that the session is configured with."""
+    key = docs.sparkSession.conf.get(KEY, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key: give one or set {KEY}")
+    return key.encode()
+
+
+def pseudonymize(docs: DataFrame, text_col: str = "text", key: bytes | None = None, back: bool = False, spans: str | None = "pii") -> DataFrame:
     """The rows with pseudonyms in their text; ``spans`` names a column of kind:start:end in the old text, in place of any of that name."""
     from pyspark.sql import types as T
 
+    key = key or key_of(docs)
     docs = docs.drop(spans) if spans else docs
     schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T.StringType())] if spans else [])])
 
