@@ -6,13 +6,15 @@ punctuation, and obfuscation (signs or digits inside words, letters drawn out, l
 
 Training. At most ``sample`` labelled rows are used, those of smallest hash of the id: a documented
 bound, so that words counted and rows fitted on the driver stay bounded; counts of words are summed
-on the executors. Every row's features come from a lexicon learned without its fold, the trees' own
+on the executors. A lexicon has ``ENTRIES`` entries at most, those of the largest weight. Every row's features come from a lexicon learned without its fold, the trees' own
 out-of-fold margins give the isotonic map, and then lexicon and trees are fitted to all of the sample.
 Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null text is scored as an empty one; a row with a null label is not learned from;
-with fewer than two classes the built-in list alone decides; a document id that is repeated is scored
-row by row; an empty table gives no rows.
+with fewer than two classes the built-in list alone decides; a very long text is scored whole; equal
+weights go by the entry's spelling, equal hashes by id; a document id that is repeated is scored row
+by row; other columns are carried along, but one named as the score is replaced; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtrace.llm.workers import tidy
+from gridtrace.session import materialize
 
 FOLDS = 4
 ENTRIES = 4000
@@ -269,11 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: bool
             yield out()
 
     cols = [f"c{i}" for i in range(2 * FOLDS)]
-    toxic, clean = "+".join(cols[1::2]), "+".join(cols[0::2])
-    counted = (
-        texts.mapInPandas(tidy(count), "e string, " + ", ".join(f"{c} long" for c in cols)).groupBy("e").agg(*(F.sum(c).alias(c) for c in cols))
-        .where(f"{toxic} >= 3").orderBy(F.expr(f"({toxic}) / ({clean} + 1.0)").desc(), F.expr(toxic).desc(), "e").limit(4 * ENTRIES).collect()
-    )
+    toxic = "+".join(cols[1::2])
+    counted = texts.mapInPandas(tidy(count), "e string, " + ", ".join(f"{c} long" for c in cols)).groupBy("e").agg(*(F.sum(c).alias(c) for c in cols))
+    counted = materialize(counted.where(f"{toxic} >= 3"), "entries")
     n = {(f, y): 0 for f in range(FOLDS) for y in (0, 1)}
     for r in texts.groupBy("fold", (F.col("y") > 0).cast("int").alias("y")).count().collect():
         n[r["fold"], r["y"]] = r["count"]
@@ -281,9 +282,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: bool
         return Model({}, None, None)
 
     def lexicon(skip: int | None) -> dict[str, float]:
+        """Chosen by the counts of the other folds alone, at most ``ENTRIES`` and at most twice as many looked at."""
         use = [f for f in range(FOLDS) if f != skip]
-        counts = {r["e"]: (sum(r[f"c{2 * f}"] for f in use), sum(r[f"c{2 * f + 1}"] for f in use)) for r in counted}
-        return lexicon_from(counts, (sum(n[f, 0] for f in use), sum(n[f, 1] for f in use)))
+        rows = sum(n[f, 0] for f in use), sum(n[f, 1] for f in use)
+        sums = counted.selectExpr("e", "+".join(f"c{2 * f}" for f in use) + " AS clean", "+".join(f"c{2 * f + 1}" for f in use) + " AS toxic").where("toxic >= 3")
+        odds = f"ln((toxic + 0.5) / {rows[1] + 1}) - ln((clean + 0.5) / {rows[0] + 1})"
+        best = sums.withColumn("odds", F.expr(odds)).where("odds > 1.59").orderBy(F.expr("odds * ln(1 + toxic)").desc(), F.col("e").desc()).limit(2 * ENTRIES)
+        return lexicon_from({r["e"]: (r["clean"], r["toxic"]) for r in best.collect()}, rows)
 
     by_fold = [lexicon(f) for f in range(FOLDS)]
 
