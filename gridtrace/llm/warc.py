@@ -11,12 +11,15 @@ Writing: every task writes files of its own, of ``roll_bytes`` at most and a rec
 write consists of is listed in a manifest, so files of lost or repeated attempts are never read.
 
 Defined cases: a null payload is empty; a null id or address leaves its header out and reads as
-null; repeated rows are records of their own; an empty table makes an archive without records.
+null; a very long payload is a record as any other, inflated whole when it is asked for; repeated
+rows are records of their own; columns other than those asked for are not looked at, whatever their
+names; an empty table makes an archive without records.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -48,6 +51,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from gridtrace.session import materialize
+
 SCHEMA = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
@@ -169,6 +174,7 @@ def to_test(f: Filter) -> Test | None:
 def _open(path: str):
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]://", "s3://", path)  # the names that Hadoop has for it
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -360,10 +366,11 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def write_pages(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
+def write_pages(pages: DataFrame, path: str, least_bytes: int = 1000, broadcast_rows: int = 500_000) -> None:
     """Write one record a page. Of equal payloads of ``least_bytes`` or more, that with the largest page_id is whole.
 
-    Rows with the same page_id and payload are all whole; so are equal payloads whose ids are all null.
+    Digests that repeat are found from ids and digests alone. Up to ``broadcast_rows`` of them, counted,
+    are broadcast, so that payloads stay where they are read; more are joined by a shuffle. Rows with the same page_id and payload are all whole; so are equal payloads whose ids are all null.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumns(
         {"payload_digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")}
@@ -375,6 +382,9 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
         .where("n > 1 AND whole_id IS NOT NULL")
         .drop("n")
     )
+    largest = materialize(largest, "repeated")
+    if largest.count() <= broadcast_rows:
+        largest = F.broadcast(largest)
     revisit = F.col("whole_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("whole_id"))
     out = rows.join(largest, "payload_digest", "left").select(
         F.concat(F.lit("urn:page:"), F.col("page_id").cast("string")).alias("record_id"),
@@ -395,12 +405,16 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page by page, what the archives say; digests of whole records are taken from their payload anew."""
+    """Page by page, what the archives say, in one pass; digests of whole records are taken from their payload anew.
+
+    The record types are pushed down, and revisits have no payload that could be decoded.
+    """
     number = "CAST(substring_index({}, ':', -1) AS BIGINT)"
-    whole = read_records(spark, path).where("record_type = 'response'")
-    links = read_records(spark, path, payload=False).where("record_type = 'revisit'")
-    return whole.selectExpr(
-        f"{number.format('record_id')} AS page_id", "CAST(octet_length(payload) AS BIGINT) AS payload_bytes", "sha1(payload) AS payload_digest", "record_type", "CAST(NULL AS BIGINT) AS refers_to"
-    ).unionByName(
-        links.selectExpr(f"{number.format('record_id')} AS page_id", "payload_length AS payload_bytes", "payload_digest", "record_type", f"{number.format('refers_to')} AS refers_to")
+    whole = "record_type = 'response'"
+    return read_records(spark, path).where("record_type IN ('response', 'revisit')").selectExpr(
+        f"{number.format('record_id')} AS page_id",
+        f"CASE WHEN {whole} THEN CAST(octet_length(payload) AS BIGINT) ELSE payload_length END AS payload_bytes",
+        f"CASE WHEN {whole} THEN sha1(payload) ELSE payload_digest END AS payload_digest",
+        "record_type",
+        f"CASE WHEN NOT {whole} THEN {number.format('refers_to')} END AS refers_to",
     )
