@@ -9,8 +9,9 @@ it is the last ``context`` turns: their output is that of each turn alone, so it
 and a conversation of any length streams through bounded memory.
 
 Defined cases: a null text or role is empty; turns go by (turn, role, text), nulls first; rows of a
-null conversation id form one conversation; repeated rows are turns of their own; an empty table
-gives no rows.
+null conversation id form one conversation; repeated rows are turns of their own; a very long text is
+one turn; equal turns come one after the other; other columns are not looked at, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@
 5. Buckets over ``block`` rows are cut into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: a null label, a null, empty or zero vector and one with null or non-finite components
-links with nothing; vectors of unlike length never link; repeated rows count as vectors of their
-own; a null id is carried along; an empty table gives no rows.
+links with nothing; vectors of unlike length never link; very long vectors are compared as any others;
+a cosine of exactly the threshold links; repeated rows count as vectors of their own; a null id is
+carried along; columns other than vec_id, label and embedding are not looked at, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ The last tokens of a task, less than a sequence, go to sequences of a power of t
 are not padded.
 
 Defined cases: a null text is empty and yields the end id alone; repeated rows are packed like any
-others; an empty table gives no pieces. Each id of a document lies in exactly one piece.
+others; a very long text is cut to as many pieces as it wants; rests of equal length go in the order
+they came, and of sequences of equal cost the first takes the next; other columns are not looked at,
+whatever their names; an empty table gives no pieces. Each id of a document lies in exactly one piece.
 """
 
 from __future__ import annotations

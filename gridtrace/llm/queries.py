@@ -65,6 +65,25 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(turns)
 
 
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)
+), sized AS (
+  SELECT *, 24 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length(role) + len(regexp_extract_all(role, '<\\*\|'))
+    + 2 * len(regexp_extract_all(role, '[%\n]')) AS chars
+  FROM turns
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, false AS rewritten
+FROM sized GROUP BY conv_id
+"""
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each benchmark item that a document holds."""
     return decontam.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -87,6 +106,24 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings
+  UNION
+  SELECT links.b, reach.r FROM reach JOIN links ON reach.vec_id = links.a
+)
+SELECT vec_id, CAST((SELECT count(*) FROM links WHERE links.a = reach.vec_id) AS BIGINT) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach GROUP BY vec_id
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -97,6 +134,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, path)
 
 
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS whole FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> whole THEN 'revisit' ELSE 'response' END AS record_type,
+  CAST(CASE WHEN payload_bytes >= 1000 AND page_id <> whole THEN whole END AS BIGINT) AS refers_to
+FROM w
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -113,4 +161,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_warc": OP9_SQL}

@@ -12,7 +12,9 @@ same way. The driver sees at most nodes * bins sums, whatever the input's size.
 
 Defined cases: a null text has size 16 and checksum 0, and is a group with the empty text only by
 chance of equal size and hash; null metadata takes a place of its own below all values; repeated rows
-are rows of their own; an empty table gives no rows; with few rows some shards stay empty.
+are rows of their own; a very long text is one row of its size, which makes its shard larger by as
+much at most; ties at a cut go by a hash of the text; other columns are not looked at, whatever their
+names; an empty table gives no rows; with few rows some shards stay empty.
 """
 
 from __future__ import annotations
