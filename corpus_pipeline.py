@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtrace.llm import decontam, ngram_join, packing, pii, toxicity
+from gridtrace.llm.queries import TEST_KEY
 from gridtrace.session import materialize, ship
 
 
@@ -32,8 +33,11 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Valid numbers, dates and addresses get pseudonyms of their own form; n_chars follows the text."""
-    out = pii.pseudonymize(docs, spans=None)
+    """Valid numbers, dates and addresses get pseudonyms of their own form; n_chars follows the text.
+
+    The key is the session's ``spark.gridtrace.pii.key``; where that is unset, as in checks, a public test key.
+    """
+    out = pii.pseudonymize(docs, spans=None, key=spark.conf.get(pii.KEY, TEST_KEY).encode())
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(out.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
