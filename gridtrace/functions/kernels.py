@@ -19,6 +19,13 @@ SUCC, OUT_OF_BOUND, NO_VALUE, CRITICAL_POINT = 0, 1, 2, 3
 HURRICANE_METRES = (1940.0 / 500 * 1000, 2004.0 / 500 * 1000, 19.8 / 100 * 1000)
 HOUR, MONTH = 3600.0, 2629744.0
 COLUMNS, EARTH = 288, 6371000.0
+#: Pascals a hectopascal times ten, scale factor and metres a degree of the vertical speed; least shrinking by latitude; least speed.
+OMEGA, OMEGA_SCALE, DEGREE = 1000, 44, 111000
+LEAST_SHRINK, LEAST_SPEED = 0.01, 1e-5
+
+
+#: Of a step only: a later stage left the domain, not the brick alone, so no other brick can do the step.
+LEFT_DOMAIN = 4
 
 
 @dataclass
@@ -29,6 +36,7 @@ class Brick:
     start: np.ndarray
     ghost_start: np.ndarray
     ghost_size: np.ndarray
+    domain: np.ndarray | None = None
 
     @staticmethod
     def whole(data: np.ndarray) -> Brick:
@@ -44,6 +52,14 @@ class Brick:
         return inside(x, self.ghost_start, self.ghost_size)
 
 
+def _stage(brick: Brick, at: np.ndarray, ok: np.ndarray, status: np.ndarray) -> None:
+    """Mark steps whose stage could not be sampled."""
+    failed = (status == SUCC) & ~ok
+    status[failed] = OUT_OF_BOUND
+    if brick.domain is not None:
+        status[failed & ~((at >= 0) & (at < brick.domain - 1)).all(axis=1)] = LEFT_DOMAIN
+
+
 def _bad(v: np.ndarray) -> np.ndarray:
     return ~np.isfinite(v).all(axis=1)
 
@@ -86,7 +102,7 @@ def hurricane_rk4(brick: Brick, x: np.ndarray, h: float, wrap: bool = False) ->
     for stage in range(4):
         if stage:
             v, ok = brick.sample(cur, slice(0, 3))
-            status[(status == SUCC) & ~ok] = OUT_OF_BOUND
+            _stage(brick, cur, ok, status)
         k.append((x.dtype.type(h) * v / metres).astype(np.float64))
         move = 0.5 * k[-1] if stage < 3 else (k[0] + 2.0 * (k[1] + k[2]) + k[3]) / 6.0
         nxt = p0.copy()
@@ -103,11 +119,13 @@ def _moved_on(sample: Callable, x: np.ndarray, by: float, most: int = 100_000) -
     """Points with those of almost no speed moved on in time, their status, velocity and speed."""
     p, status = x.copy(), np.full(len(x), SUCC, dtype=np.int8)
     v, ok = sample(p)
-    for _ in range(most):
+    for k in range(most + 1):
         mag = np.sqrt((v[:, :3].astype(np.float64) ** 2).sum(axis=1))
-        slow = np.flatnonzero(ok & (mag < 1e-5))
+        slow = np.flatnonzero(ok & (mag < LEAST_SPEED))
         if not len(slow):
             break
+        if k == most:
+            raise RuntimeError(f"{len(slow)} points have almost no speed after {most} moves in time")
         p[slow, 3] = (p[slow, 3].astype(np.float64) + by).astype(x.dtype)
         v[slow], ok[slow] = sample(p[slow])
     status[~ok] = OUT_OF_BOUND
@@ -157,12 +175,12 @@ def atmosphere_velocity(brick: Brick, x: np.ndarray) -> tuple[np.ndarray, np.nda
     below = np.where(ok_down, below, zl - (above - zl))
     half = vals.dtype.type(0.5)
     thick = (above - below) * half + (zl - below) * half
-    v = np.stack([vals[:, 0], vals[:, 1], vals[:, 2] * vals.dtype.type(1000) * 44 * thick / vals.dtype.type(111000)], axis=1)
+    v = np.stack([vals[:, 0], vals[:, 1], vals[:, 2] * vals.dtype.type(OMEGA) * OMEGA_SCALE * thick / vals.dtype.type(DEGREE)], axis=1)
     return v.astype(x.dtype), ok
 
 
 def _shrink(x: np.ndarray) -> np.ndarray:
-    return np.cos(np.radians(y_to_lat(x[:, 1]))) + 0.01
+    return np.cos(np.radians(y_to_lat(x[:, 1]))) + LEAST_SHRINK
 
 
 def atmosphere_rk1(dims: int):
@@ -197,7 +215,7 @@ def atmosphere_rk4(brick: Brick, x: np.ndarray, h: float, wrap: bool = False) ->
     for stage in range(4):
         if stage:
             v, ok = atmosphere_velocity(brick, cur)
-            status[(status == SUCC) & ~ok] = OUT_OF_BOUND
+            _stage(brick, cur, ok, status)
         step = x.dtype.type(h) * v
         if stage < 3:
             step[:, 1] *= _shrink(cur).astype(x.dtype)
@@ -235,7 +253,7 @@ def advance(kernel: Callable, brick: Brick, x: np.ndarray, steps: np.ndarray, h:
     Returns positions, steps, finished flags, statuses, work done, and at each mark (budget left) the
     positions then. Leaving the ghosted box is no work; a critical point is work but no step.
     """
-    n = len(x)
+    n, brick.domain = len(x), domain
     x, steps = x.copy(), steps.copy()
     status, finished, work = np.zeros(n, dtype=np.int8), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
     left = np.full(n, budget)
@@ -243,6 +261,8 @@ def advance(kernel: Callable, brick: Brick, x: np.ndarray, steps: np.ndarray, h:
     live = np.flatnonzero((steps < most) & (left > 0))
     while len(live):
         new, st = kernel(brick, x[live], h, wrap)
+        finished[live] |= st == LEFT_DOMAIN
+        st = np.where(st == LEFT_DOMAIN, OUT_OF_BOUND, st)
         status[live] = st
         work[live] += st != OUT_OF_BOUND
         finished[live] |= (st == CRITICAL_POINT) | (st == NO_VALUE)

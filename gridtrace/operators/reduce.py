@@ -63,24 +63,30 @@ def transfer_counts(df: DataFrame, src: Column, dst: Column) -> DataFrame:
 
 
 def scan(df: DataFrame, value: str, order: list[str], by: list[str] | None = None, exclusive: bool = False, name: str = "scan", chunk: int = 100_000) -> DataFrame:
-    """Prefix sums. With ``by`` a window; without, range partitions are summed first, so no task gets all rows.
+    """Prefix sums, over all rows or within groups ``by``.
 
-    ``order`` must tell rows apart for a defined result.
+    Range partitions over group and order are summed first, so neither all rows nor those of a large
+    group meet in a task. ``order`` must tell rows apart for a defined result.
     """
-    if by:
-        s = F.sum(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-        return df.withColumn(name, s - F.col(value) if exclusive else s)
+    by = by or []
     spark = df.sparkSession
     from gridtrace.session import materialize
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "scan")
-    own = F.sum(value).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    sums = parts.groupBy("__part").agg(F.sum(value).alias("__sum"))  # as many rows as partitions
-    before = sums.select("__part", (F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"))
-    out = parts.withColumn("__own", own).join(F.broadcast(before), "__part")
-    s = F.col("__own") + F.col("__before")
-    return out.withColumn(name, s - F.col(value) if exclusive else s).drop("__part", "__own", "__before")
+    parts = materialize(df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()), "scan")
+    here = W.partitionBy("__part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    sums = parts.groupBy("__part", *by).agg(F.sum(value).alias("__sum"))
+    #: A group that lies in several partitions ends in each but the last, so these are at most two rows a partition.
+    ends = sums.groupBy("__part").agg(*([F.min(F.struct(*by)).alias("lo"), F.max(F.struct(*by)).alias("hi")] if by else []), F.count("*").alias("c"))
+    if by:
+        edge = sums.join(F.broadcast(ends), "__part").where(F.struct(*by).eqNullSafe(F.col("lo")) | F.struct(*by).eqNullSafe(F.col("hi"))).select("__part", *by, "__sum")
+    else:
+        edge = sums
+    key = F.xxhash64(*(x for c in by for x in (F.col(c).isNull(), F.col(c)))) if by else F.lit(0)
+    before = edge.select("__part", key.alias("__key"), (F.sum("__sum").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__sum")).alias("__before"))
+    out = parts.withColumn("__own", F.sum(value).over(here)).withColumn("__key", key).join(F.broadcast(before), ["__part", "__key"], "left")
+    s = F.col("__own") + F.coalesce("__before", F.lit(0))
+    return out.withColumn(name, s - F.col(value) if exclusive else s).drop("__part", "__key", "__own", "__before")
 
 
 def deltas(df: DataFrame, time: str, order: list[str], by: list[str], name: str = "dt") -> DataFrame:
@@ -129,9 +135,37 @@ def foreach_block(df: DataFrame, gid: str, f: Callable, schema: str) -> DataFram
     return df.groupBy(gid).applyInPandas(f, schema)
 
 
-def exchange(df: DataFrame, dst: str, gid: str = "gid") -> DataFrame:
-    """Rows enqueued to a destination become the rows of that block."""
-    return df.withColumn("src_gid", F.col(gid)).withColumn(gid, F.col(dst)).drop(dst)
+def exchange(df: DataFrame, dst: str, gid: str = "gid", n: int | None = None, salts: int = 1) -> DataFrame:
+    """Rows enqueued to a destination become the rows of that block, in the partition that has the block.
+
+    With ``salts`` a block's rows lie in so many partitions at most: for blocks that get much.
+    """
+    moved = df.withColumn("src_gid", F.col(gid)).withColumn(gid, F.col(dst)).drop(dst)
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*(c for c in moved.columns)), F.lit(salts))
+    return moved.repartition(n, gid, salt) if salts > 1 else moved.repartition(n, gid)
+
+
+def swap_reduce(points: DataFrame, coords: list[str], divs: tuple[int, ...], size: tuple[int, ...], k: int = 2) -> DataFrame:
+    """Points to the block that holds them, in rounds of groups of ``k``: each settles one digit of a block's coordinate.
+
+    Dimensions take turns. A row carries its block's coordinates so far, so a round is a projection and
+    one exchange by block; the last round's blocks are the grid's.
+    """
+    steps = {d: [g for g, _ in partners(n, k)] for d, n in enumerate(divs)}
+    at = {d: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(F.col(c).cast("int") / (s // n)).cast("int"))) for d, (c, n, s) in enumerate(zip(coords, divs, size, strict=True))}
+    done = [1] * len(divs)
+    out = points.withColumn("gid", F.lit(0))
+    while any(steps.values()):
+        for d in range(len(divs)):
+            if not steps[d]:
+                continue
+            done[d] *= steps[d].pop(0)
+            gid, stride = F.lit(0), 1
+            for e, n in enumerate(divs):  # the leading digits of each coordinate
+                gid, stride = gid + F.floor(at[e] / (n // done[e])).cast("int") * stride, stride * done[e]
+            out = exchange(out.withColumn("dst", gid), "dst").drop("src_gid")
+    return out
 
 
 def iterate_until_done(df: DataFrame, body: Callable[[DataFrame], DataFrame], done: Column, most: int = 1000) -> tuple[DataFrame, int]:
@@ -188,8 +222,9 @@ def limit_per_group(df: DataFrame, by: str, order: list, most: int) -> DataFrame
 
 
 def batches(df: DataFrame, by: str, order: list, size: int) -> DataFrame:
-    """Messages numbered by batch of ``size`` within their group."""
-    return df.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1) / size))
+    """Messages numbered by batch of ``size`` within their group, by a scan: a large group is not one task."""
+    numbered = scan(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, [by], exclusive=True, name="__before_it")
+    return numbered.withColumn("batch", F.floor(F.col("__before_it") / size)).drop("__one", "__before_it")
 
 
 def split_by_state(df: DataFrame, done: str = "finished") -> tuple[DataFrame, DataFrame]:

@@ -32,11 +32,11 @@ def sample_dividers(df: DataFrame, by: str, value: str, n: int, per_block: int =
 
 
 def sample_sort(df: DataFrame, by: str, value: str, n: int, per_block: int = 8, order: Column | None = None, samples_only: bool = False):
-    """Rows with their bucket, sorted within it; or the dividers alone."""
+    """Rows with their bucket, in order over all partitions: buckets go to partitions by range; or the dividers alone."""
     d = sample_dividers(df, by, value, n, per_block, order)
     if samples_only:
         return d
-    return df.withColumn("bucket", bucket(F.col(value), d)).repartition(n, "bucket").sortWithinPartitions("bucket", value)
+    return df.withColumn("bucket", bucket(F.col(value), d)).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", value)
 
 
 def histogram_dividers(df: DataFrame, value: str, lo: float, hi: float, n: int, bins: int = 64) -> list[float]:
@@ -54,7 +54,7 @@ def histogram_dividers(df: DataFrame, value: str, lo: float, hi: float, n: int,
 
 def histogram_sort(df: DataFrame, value: str, lo: float, hi: float, n: int, bins: int = 64) -> DataFrame:
     d = histogram_dividers(df, value, lo, hi, n, bins)
-    return df.withColumn("bucket", bucket(F.col(value), d, lower=False)).repartition(n, "bucket").sortWithinPartitions("bucket", value)
+    return df.withColumn("bucket", bucket(F.col(value), d, lower=False)).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", value)
 
 
 def global_sort(df: DataFrame, *order, n: int | None = None) -> DataFrame:

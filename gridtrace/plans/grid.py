@@ -85,6 +85,24 @@ def _cross(gids: Column, seq: Column, stride: int) -> Column:
     return F.flatten(F.transform(seq, lambda j: F.transform(gids, lambda i: i + j * stride)))
 
 
+def _places(axis: str, at: Column, n: int, size: int, ghosts: int, wrap: bool) -> Column:
+    """Blocks along one dimension whose ghosted box holds the place, with the place."""
+    w = size // n
+    lo = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((at - ghosts) / w)))
+    hi = F.when(at + ghosts >= (n - 1) * w, n - 1).otherwise(F.greatest(F.lit(0), F.floor((at + ghosts) / w)))
+    blocks = F.sequence(lo.cast("int"), F.greatest(lo, hi).cast("int"))
+    if wrap:
+        blocks = F.filter(blocks, lambda _: (at >= -ghosts) & (at <= size - 1 + ghosts))
+    return F.transform(blocks, lambda i: F.struct(i.alias("gid"), at.cast("int").alias(axis)))
+
+
+def _combine(before: Column, here: Column, stride: int, k: int) -> Column:
+    def both(i: Column, j: Column) -> Column:
+        return F.struct((i["gid"] + j["gid"] * stride).cast("int").alias("gid"), *(i[a].alias(a) for a in AXES[:k]), j[AXES[k]].alias(AXES[k]))
+
+    return F.flatten(F.transform(here, lambda j: F.transform(before, lambda i: both(i, j))))
+
+
 @dataclass(frozen=True)
 class Grid:
     """A discrete domain [0, size - 1] cut into blocks with ghost layers."""
@@ -134,8 +152,22 @@ class Grid:
             stride *= n
         return gid
 
+    def placements(self, coords: list[Column]) -> Column:
+        """All places of a vertex in blocks' ghosted boxes: an array of the block and the vertex's coordinates there.
+
+        Along a periodic dimension a vertex is also where it is seen from over the seam, a period further.
+        """
+        out, stride = None, 1
+        for k, (c, n, s, g, wrap) in enumerate(zip(coords, self.divs, self.size, self.ghosts, self.wrap or (False,) * self.dims, strict=True)):
+            here = F.flatten(F.array(*(_places(AXES[k], c + shift, n, s, g, wrap) for shift in ((-s, 0, s) if wrap else (0,)))))
+            out = here if out is None else _combine(out, here, stride, k)
+            stride *= n
+        return out
+
     def owners(self, coords: list[Column]) -> Column:
         """All blocks whose ghosted boxes hold a vertex, as an array."""
+        if any(self.wrap):
+            return F.array_distinct(F.transform(self.placements(coords), lambda p: p["gid"]))
         per_dim = []
         for c, n, s, g in zip(coords, self.divs, self.size, self.ghosts, strict=True):
             w = s // n

@@ -40,12 +40,16 @@ def analytic(spark: SparkSession, kind: str, size: tuple[int, ...], c: float = 1
 
 
 def to_bricks(field: DataFrame, grid: Grid, variables: list[str], dtype: str = "float32") -> DataFrame:
-    """Copy each vertex to the blocks whose ghosted box holds it, and gather each block's arrays.
+    """Copy each vertex to the blocks whose ghosted box holds it, over the seam of periodic dimensions too, and gather each block's arrays.
 
     A task holds one padded block at a time, which the memory limit of elastic ghosts bounds.
     """
     axes = list(AXES[: grid.dims])
-    rows = field.select(*axes, *variables).withColumn("gid", F.explode(grid.owners([F.col(a) for a in axes])))
+    at = [F.col(a) for a in axes]
+    if any(grid.wrap):
+        rows = field.select(*variables, F.explode(grid.placements(at)).alias("p")).select("p.*", *variables)
+    else:
+        rows = field.select(*axes, *variables).withColumn("gid", F.explode(grid.owners(at)))
 
     def gather(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         lo, hi = (np.array(b) for b in grid.ghosted(int(key[0])))

@@ -56,6 +56,14 @@ def _open(path: str):
     return system.open_input_file(p)
 
 
+def _create(path: str):
+    from pyarrow import fs
+
+    system, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system.create_dir(p.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(p)
+
+
 def read_header(f) -> Header:
     f.seek(0)
     magic = f.read(4)
@@ -163,7 +171,7 @@ def write(path: str, dims: list[tuple[str, int]], variables: dict[str, tuple[lis
     for n, (_, a) in grown.items():
         begin[n] = at
         at += size(a, True)
-    with open(path, "wb") as f:
+    with _create(path) as f:
         f.write(header(begin))
         for _, a in fixed.values():
             f.write(a.tobytes() + b"\0" * (-a.nbytes % 4))

@@ -50,6 +50,40 @@ def io_blocks(requests: DataFrame, dims: int, readers: int) -> DataFrame:
     return spark.createDataFrame(rows, "file string, var string, stage int, reader int, io_start array<int>, io_end array<int>")
 
 
+def read_boxes(requests: DataFrame, dims: int, readers: int, read) -> DataFrame:
+    """(id, start, shape, dtype, data) of every request: each reader's box is read once, cut and handed out.
+
+    ``read(file, var, start, size)`` gives an array, slowest dimension first, as the boxes are. It runs on
+    the executors. A request's parts meet where it is put together, so it must fit in a task's memory.
+    """
+    import numpy as np
+    import pandas as pd
+
+    plan = exchange_plan(requests, io_blocks(requests, dims, readers), dims)
+    cols = ["id", "file", "var", "start", "end", "io_start", "io_end", "part_start", "part_end"]
+
+    def phase_one(g: pd.DataFrame) -> pd.DataFrame:
+        first = g.iloc[0]
+        a, b = list(first["io_start"]), list(first["io_end"])
+        box, out = read(first["file"], first["var"], tuple(a), tuple(y - x for x, y in zip(a, b, strict=True))), []
+        for r in g.itertuples():
+            part = box[tuple(slice(s - x, e - x) for s, e, x in zip(r.part_start, r.part_end, a, strict=True))]
+            out.append((r.id, list(r.start), list(r.end), list(r.part_start), list(part.shape), part.dtype.str, np.ascontiguousarray(part).tobytes()))
+        return pd.DataFrame(out, columns=["id", "start", "end", "at", "shape", "dtype", "data"])
+
+    def phase_two(g: pd.DataFrame) -> pd.DataFrame:
+        first = g.iloc[0]
+        start, shape = list(first["start"]), [e - s for s, e in zip(first["start"], first["end"], strict=True)]
+        out = np.empty(shape, dtype=first["dtype"])
+        for r in g.itertuples():
+            out[tuple(slice(p - s, p - s + n) for p, s, n in zip(r.at, start, r.shape, strict=True))] = np.frombuffer(r.data, dtype=r.dtype).reshape(tuple(r.shape))
+        return pd.DataFrame({"id": [first["id"]], "start": [start], "shape": [shape], "dtype": [first["dtype"]], "data": [out.tobytes()]})
+
+    kind = requests.schema["id"].dataType.simpleString()
+    parts = plan.select(*cols).groupBy("file", "var", "io_start").applyInPandas(phase_one, f"id {kind}, start array<int>, end array<int>, at array<int>, shape array<int>, dtype string, data binary")
+    return parts.groupBy("id").applyInPandas(phase_two, f"id {kind}, start array<int>, shape array<int>, dtype string, data binary")
+
+
 def exchange_plan(requests: DataFrame, blocks: DataFrame, dims: int) -> DataFrame:
     """Which part of which reader's box goes to which request: the boxes' intersections."""
     meet = F.lit(True)

@@ -49,6 +49,15 @@ def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
+def run_to_folder(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """All there is now, each trigger's updates appended to a table of Parquet files."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/trigger={number}")  # a trigger that is run again writes the same folder
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def windowed_counts(messages: DataFrame, time: str, late: str, width: str) -> DataFrame:
     """Messages a window of event time, with late ones let in up to the watermark."""
     return messages.withWatermark(time, late).groupBy(F.window(time, width), "gid").agg(F.count("*").alias("count"))

@@ -138,3 +138,47 @@ def test_metrics_and_sinks(spark, tmp_path):
     r = metrics.parse_logs(spark, str(tmp_path / "logs")).first()
     assert (r["processes"], r["time_run"]) == (4, 12.5)
     assert metrics.termination(spark.createDataFrame([], "finished boolean")).first()["stop"]
+
+
+def test_sorts_are_in_order_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from gridtrace.operators import sorting
+
+    df = spark.range(3000).select((F.col("id") % 5).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1000))).cast("double").alias("v"))
+    for got in (sorting.sample_sort(df, "g", "v", 6), sorting.histogram_sort(df, "v", 0, 1000, 6)):
+        rows = [(r.p, r.v) for r in got.select(F.spark_partition_id().alias("p"), "v").collect()]
+        values = [v for _, v in sorted(rows, key=lambda r: r[0])]  # stable: rows of a partition stay as they lie
+        assert len(values) == 3000 and values == sorted(values) and len({p for p, _ in rows}) > 1
+
+
+def test_scan_of_groups_over_several_partitions(spark):
+    from gridtrace.operators import reduce
+
+    rows = [("hot", i, i % 7) for i in range(2000)] + [(None, i, 1) for i in range(30)] + [("a", 1, 5), ("z", 2, 6), ("z", 3, None)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(5)
+    for exclusive in (False, True):
+        got = {(r.g, r.i): r.scan for r in reduce.scan(df, "v", ["i"], ["g"], exclusive=exclusive).collect()}
+        sums = {}
+        for g, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+            sums[g] = sums.get(g, 0) + (v or 0)
+            if v is not None:
+                assert got[g, i] == sums[g] - (v if exclusive else 0)
+        assert len(got) == len(rows)
+
+
+def test_bricks_of_a_wrapped_grid_are_whole(spark):
+    import numpy as np
+
+    from gridtrace.plans.grid import Grid
+    from gridtrace.sources import fields
+
+    grid = Grid.of((8, 8), 4, 2, wrap=(True, True))
+    bricks = fields.to_bricks(fields.vertices(spark, (8, 8)).selectExpr("x", "y", "CAST(x + 10 * y AS DOUBLE) AS u"), grid, ["u"], "float64").collect()
+    assert len(bricks) == 4
+    for b in bricks:
+        data = np.frombuffer(b.data).reshape(b.shape)[0]
+        lo = b.start
+        for j in range(data.shape[0]):
+            for i in range(data.shape[1]):
+                assert data[j, i] == (lo[0] + i) % 8 + 10 * ((lo[1] + j) % 8)
