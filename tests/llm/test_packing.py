@@ -8,14 +8,24 @@ from hypothesis import given, settings
 from gridtrace.llm import packing as P
 
 
-@pytest.fixture(scope="module")
-def slow():
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@pytest.fixture(scope="module")
+def slow():
+    return tokenizer()
+
+
+def whole_ids(text, held=[]):  # noqa: B006
+    """A whole document's ids by the tokenizers file."""
+    held or held.append(tokenizer())
+    return held[0].encode(text or "", add_special_tokens=False).ids
+
+
 ENCODE = P.encoder()
 
 
@@ -74,7 +84,7 @@ def test_query_is_whole(spark):
         seqs.setdefault(r.sequence_id, []).append(r)
     assert by.keys() == texts.keys()
     for d, rows in by.items():
-        ids = np.append(ENCODE(texts[d]), np.uint32(1)).astype("<u4")
+        ids = np.append(whole_ids(texts[d]), 1).astype("<u4")
         at = 0
         for r in sorted(rows, key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids)

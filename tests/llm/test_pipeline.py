@@ -9,7 +9,8 @@ from test_ngram_join import N, brute
 sys.path.insert(0, ROOT)
 import corpus_pipeline  # noqa: E402
 
-from gridtrace.llm import packing, pii, toxicity  # noqa: E402
+from gridtrace.llm import pii, toxicity  # noqa: E402
+from gridtrace.llm.queries import TEST_KEY  # noqa: E402
 
 
 def plain(spark, docs, sf):
@@ -19,7 +20,7 @@ def plain(spark, docs, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     scores = model.score(np.array([toxicity.features(t or "", look) for _, t in rows]))
     rows = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
-    first = {d: c for d, _, c in brute(rows, N.Rule(5, 80, 100))}
+    first = {d: c for d, _, _, c in brute(rows, N.Rule(5, 80, 100))}
     rows = [r for r in rows if first[r[0]] == r[0]]
     strip = lambda t: [w for w in (x.strip(D._EDGE).lower() for x in t.split()) if w]
     grams = set()
@@ -27,18 +28,19 @@ def plain(spark, docs, sf):
         w = strip(t)
         grams |= {tuple(w[k : k + 13]) for k in range(len(w) - 12)}
     rows = [(d, t) for d, t in rows if not any(tuple(w[k : k + 13]) in grams for w in [strip(t)] for k in range(len(w) - 12))]
-    f = pii.Feistel(pii.DEFAULT_KEY)
+    f = pii.Feistel(TEST_KEY.encode())
     return {d: pii.replace(t, pii.find(t, f)) for d, t in rows}
 
 
 def check_pieces(got, texts):
-    encode = packing.encoder()
+    from test_packing import whole_ids
+
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
     assert by.keys() == texts.keys()
     for d, rows in by.items():
-        ids, at = np.append(encode(texts[d]), np.uint32(1)).astype("<u4"), 0
+        ids, at = np.append(whole_ids(texts[d]), 1).astype("<u4"), 0
         for r in sorted(rows, key=lambda r: r.start):
             assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
