@@ -13,7 +13,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 #: What goes to a Python worker at once: bounded in rows and in bytes, as texts can be very long.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
