@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -41,7 +43,73 @@ def test_sizes_near_equal_with_a_hot_text(spark):
     assert len(where[hot]) > 5 and all(len(v) == 1 for t, v in where.items() if t != hot)
 
 
-def test_no_python_on_the_main_path(spark):
+def test_no_python_on_the_main_path(spark, monkeypatch):
+    """Plans of all steps: what is written, what is collected and what comes out."""
+    from gridtrace import session
+
+    plans = []
+    seen = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString())
+    write, collect = session.materialize, type(spark.range(1)).collect
+    for module in (S, session):
+        monkeypatch.setattr(module, "materialize", lambda d, what="step": (seen(d), write(d, what))[1])
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda d: (seen(d), collect(d))[1])
     df = spark.range(100).selectExpr("id AS doc_id", "string(id) AS text", "'s' AS source", "'en' AS lang")
-    plan = S.shard(df, 4)._jdf.queryExecution().executedPlan().toString()
-    assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+    seen(S.shard(df, 4))
+    assert len(plans) > 8 and not any(w in p for p in plans for w in ("Python", "Pandas", "Arrow", "ExternalRDD"))
+
+
+def test_cuts_against_brute_force(spark):
+    """Without slack each cut is the weighted quantile of place and hash, along the widest dimension."""
+    r = random.Random(4)
+    rows = [(i * i, f"{i} " + "x" * r.randrange(400), "s" + str(min(r.randrange(12), r.randrange(12))), r.choice(["en", "de", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    shards = 11
+    got = {x.doc_id: x.shard for x in S.shard(df, shards, pieces_per_shard=1, slack=0.0).collect()}
+    hashes = {x.doc_id: x.h / 2.0**64 + 0.5 for x in df.selectExpr("doc_id", "xxhash64(xxhash64(text, 7), 0) AS h").collect()}
+    size = {d: len(t) + 16 for d, t, _, _ in rows}
+    total = sum(size.values())
+
+    def share(col):
+        key = lambda v: "0" if v is None else "1" + v
+        return {x[0]: sum(size[y[0]] for y in rows if key(y[col]) < key(x[col])) / total for x in rows}
+
+    source, lang = share(2), share(3)
+    places = {d: (float(d), math.log2(size[d]), source[d], lang[d]) for d in size}
+    whole = [max(p[i] for p in places.values()) - min(p[i] for p in places.values()) for i in range(4)]
+    want = {}
+
+    def split(ids, first, k):
+        if k == 1 or not ids:
+            want.update(dict.fromkeys(ids, first))
+            return
+        width = [(max(places[d][i] for d in ids) - min(places[d][i] for d in ids)) / whole[i] for i in range(4)]
+        dim = width.index(max(width))
+        ids = sorted(ids, key=lambda d: (places[d][dim], hashes[d]))
+        goal, below, n = sum(size[d] for d in ids) * (k // 2) / k, 0, 0
+        while n < len(ids) - 1 and below + size[ids[n]] <= goal:
+            below, n = below + size[ids[n]], n + 1
+        n += abs(below + size[ids[n]] - goal) < abs(below - goal)
+        split(ids[:n], first, k // 2)
+        split(ids[n:], first + k // 2, k - k // 2)
+
+    split(list(size), 0, shards)
+    assert got == want and len(set(want.values())) == shards
+
+
+def test_query_keeps_its_contract(spark):
+    from gridtrace.llm.queries import op6_kd_sharding
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = op6_kd_sharding(spark, sf).collect()
+    check([(d,) for d in docs], got, 40)
+    assert all(r.size == len(docs[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(docs[r.doc_id]) for r in got)
+    total, weight, where = defaultdict(int), defaultdict(int), defaultdict(set)
+    for r in got:
+        total[r.shard] += r.size
+        weight[docs[r.doc_id]] += r.size
+        where[docs[r.doc_id]].add(r.shard)
+    mean = sum(total.values()) / 40
+    assert all(len(where[t]) == 1 for t, w in weight.items() if w <= mean / 16)
+    most = max(r.size for r in got)  # what can't be cut bounds how near sizes can come
+    assert max(total.values()) - min(total.values()) <= most
