@@ -141,10 +141,25 @@ def snapshot_phases(spark, sf_dir):
     return r.snapshots.select("round", "phase", "particle_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+#: Visits: a step is made in the block of the step before, unless that has used its 20 steps or the point is out of its
+#: box with two ghost layers; then the next round begins in the owner's block. Blocks are 25 and 5 vertices wide.
+VISITS = PATHS + """, w(particle_id, n, round, gid, used, x, y) AS (
+  SELECT particle_id, 0, 0, least(1, CAST(trunc(x) AS INT) // 25) + 2 * least(1, CAST(trunc(y) AS INT) // 5), 0, x, y FROM p WHERE n = 0
+  UNION ALL
+  SELECT q.particle_id, p.n, CASE WHEN stays THEN q.round ELSE q.round + 1 END, CASE WHEN stays THEN q.gid ELSE owner END, CASE WHEN stays THEN q.used + 1 ELSE 1 END, p.x, p.y
+  FROM (SELECT *, least(1, CAST(trunc(x) AS INT) // 25) + 2 * least(1, CAST(trunc(y) AS INT) // 5) AS owner,
+          used < 20 AND CASE WHEN gid % 2 = 0 THEN x < 26 ELSE x >= 23 END AND CASE WHEN gid < 2 THEN y < 6 ELSE y >= 3 END AS stays FROM w) q
+  JOIN p ON p.particle_id = q.particle_id AND p.n = q.n + 1)"""
+
+
+@query(VISITS + """, b AS (SELECT round, gid, count(*) AS steps FROM w WHERE n > 0 GROUP BY 1, 2),
+t AS (SELECT round, max(steps) AS m, avg(steps) AS a, sum(steps) AS s, count(*) AS c FROM b GROUP BY 1)
+SELECT CAST(round AS BIGINT) AS round, CAST(m AS BIGINT) AS max, round(a, 6) AS avg, CAST(s AS BIGINT) AS total, c AS workers, round(m / a, 6) AS balance,
+  round((m - a) / m, 6) AS imbalance, CAST(sum(m) OVER (ORDER BY round) AS BIGINT) AS cum_max FROM t""")
 def trace_round_balance(spark, sf_dir):
-    """Work of each round: it depends on the blocks, and so is not said in SQL."""
-    return metrics.round_balance(spark.createDataFrame(run_trace(spark, sf_dir).rounds))
+    """Work of each round, by block."""
+    b = metrics.round_balance(spark.createDataFrame(run_trace(spark, sf_dir).rounds))
+    return b.select("round", "max", F.round("avg", 6).alias("avg"), "total", "workers", *(F.round(c, 6).alias(c) for c in ("balance", "imbalance")), "cum_max")
 
 
 @query(f"WITH {FIELD} SELECT x, y, cnt, round(u, 6) AS u, round(v, 6) AS v FROM f")
