@@ -4,10 +4,12 @@
 2. Each class gets a signature of sign bits. Table t's key is its own bits of the signature. As many
    bits a key as leave some dozens of rows to a bucket, and as many tables as find a pair at the
    threshold with probability ``recall`` (each table finds it with (1 - angle / pi) ** bits).
-3. In each bucket only signatures are compared. A pair counts in the first table in which it meets,
-   so no pair counts twice, and only rows with a likely partner have their vectors fetched.
-4. The fetched vectors of a bucket are compared by cosine in double precision. Each row's links are
-   counted there; what leaves the task are counts and the links of a spanning forest, not pairs.
+3. In each bucket only the signature's first ``seed_bits`` are compared, as no more of it is sent with
+   each table's key. Only rows with a likely partner have their vectors fetched; partners met in an
+   earlier table are passed over where those bits hold that table's key.
+4. The fetched vectors of a bucket are compared by cosine in double precision. A pair counts in the
+   first of all tables in which it meets, so no pair counts twice. Each row's links are counted there;
+   what leaves the task are counts and the links of a spanning forest, not pairs.
 5. Buckets over ``block`` rows are cut into blocks, and each pair of blocks is a task of its own.
 
 Defined cases: a null label, a null, empty or zero vector and one with null or non-finite components
@@ -62,9 +64,9 @@ def _likely(n_bits: int, threshold: float) -> int:
 
 
 def _first_meets(ka: np.ndarray, kb: np.ndarray, table: int) -> np.ndarray:
-    """Pairs that share no key in an earlier table."""
+    """Pairs that share no key in an earlier table, as far as keys are known."""
     out = np.ones((len(ka), len(kb)), dtype=bool)
-    for t in range(table):
+    for t in range(min(table, ka.shape[1])):
         out &= ka[:, t, None] != kb[None, :, t]
     return out
 
@@ -105,15 +107,18 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, recall: float = 0.99
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, threshold, recall)
     n_bits = -(-max(seed_bits, bits * tables) // 8) * 8
-    far = _likely(n_bits, threshold)
+    #: What of a signature goes to each bucket, whole tables in it, and unlike bits there.
+    sent, known = seed_bits // 8, min(tables, seed_bits // bits)
+    far = _likely(seed_bits, threshold)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dim, part in b.groupby(b["embedding"].map(len)):
                 packed = signatures(_vectors(part["embedding"]), n_bits)
                 keys = table_keys(packed, bits, tables)
+                heads = [r.tobytes() for r in packed[:, :sent]]
                 for t in range(tables):
-                    yield pd.DataFrame({"node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "dim": dim, "t": t, "key": keys[:, t], "sig": [r.tobytes() for r in packed]})
+                    yield pd.DataFrame({"node": part["node"].to_numpy(), "label": part["label"].to_numpy(), "dim": dim, "t": t, "key": keys[:, t], "sig": heads})
 
     label_type = classes.schema["label"].dataType.simpleString()
     signed = classes.select("node", "label", "embedding").mapInPandas(sign, f"node long, label {label_type}, dim int, t int, key long, sig binary")
@@ -122,11 +127,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, recall: float = 0.99
     def likely(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         _, _, t, _, i, j = key
         packed = np.frombuffer(b"".join(g["sig"]), dtype=np.uint8).reshape(len(g), -1)
-        keys = table_keys(packed, bits, tables)
+        keys = table_keys(packed, bits, known)
         nodes, k = g["node"].to_numpy(), g["k"].to_numpy()
         left = np.flatnonzero(k == i)
         right = left if i == j else np.flatnonzero(k == j)
-        words = packed.view(np.uint64) if packed.shape[1] % 8 == 0 else packed
+        words = packed.view(np.uint64) if sent % 8 == 0 else packed
         some = np.zeros(len(g), dtype=bool)
         for s in range(0, len(left), 256):
             part = left[s : s + 256]

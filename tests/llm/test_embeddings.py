@@ -56,6 +56,19 @@ def test_blocks_and_repeats(spark):
         assert all(k == v[1] for k, v in got.items() if v[2])
 
 
+def test_no_pair_counts_twice_where_few_tables_are_in_what_is_sent(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((20, 16))
+    rows = [(i, (centres[i % 20] + 0.2 * rng.standard_normal(16)).astype(np.float32).tolist(), 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = brute(rows)
+    per_key, tables = E.plan_tables(600, 0.93, 0.9995)
+    assert per_key * tables > 16
+    for bits in (8, 16, 64):
+        got = {r.vec_id: r.n_links for r in E.near_duplicates(df, seed_bits=bits).collect()}
+        assert all(got[k] <= want[k][0] for k in want) and sum(got.values()) >= 0.99 * sum(v[0] for v in want.values())
+
+
 def test_query_recall(spark):
     from conftest import SF_SMALL
 
