@@ -148,6 +148,56 @@ def collective_read(spark, sf_dir):
     return read_plan.read_boxes(requests, 2, 6, read).mapInPandas(add, "id long, cells long, total double")
 
 
+@query("""WITH r AS (SELECT CASE WHEN n_regionkey < 3 THEN 'u' ELSE 'v' END AS var, n_nationkey % 7 AS y0, n_nationkey * 5 % 37 AS x0 FROM nation),
+g AS (SELECT var, max(y0) + 4 - min(y0) AS ny, max(x0) + 9 - min(x0) AS nx FROM r GROUP BY 1)
+SELECT var, CAST(3 AS BIGINT) AS boxes, CAST(3 AS BIGINT) AS readers, CAST(ny * nx * 8 AS BIGINT) AS bytes_read FROM g""")
+def io_counters(spark, sf_dir):
+    """What six readers read of two variables; seconds are left out, as they differ from run to run."""
+    path, k = write_field(spark, sf_dir), F.col("n_nationkey").cast("int")
+    y0, x0 = k % 7, k * 5 % 37
+    requests = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("id"), F.lit(path).alias("file"), F.when(F.col("n_regionkey") < 3, "u").otherwise("v").alias("var"), F.array(y0, x0).alias("start"), F.array(y0 + 4, x0 + 9).alias("end")
+    )
+
+    def read(file, var, start, size):
+        with netcdf._open(file) as f:
+            return netcdf.read_box(f, netcdf.read_header(f), var, start, size)
+
+    got = metrics.io_counters(read_plan.timed_reads(requests, 2, 6, read), ("var",))
+    return got.where("io_seconds > 0 AND slowest <= io_seconds").select("var", "boxes", "readers", "bytes_read")
+
+
+# --- memory of ghosted blocks, and probes of how far they may grow ---------------------------------------
+
+GHOSTED = f"""{BLOCKS8}, t AS (SELECT CAST(j AS INT) AS j, CAST(1 + (j + 1) // 2 AS INT) AS gx, CAST(1 + j // 2 AS INT) AS gy FROM generate_series(0, 99) s(j)),
+n AS (SELECT j, gx, gy, least(49, ub_x + gx) - greatest(0, lb_x - gx) + 1 AS nx, least(10, ub_y + gy) - greatest(0, lb_y - gy) + 1 AS ny FROM k, t),
+m AS (SELECT j, gx, gy, CAST(sum(nx * ny) * 8 AS BIGINT) AS bytes, bool_or(nx = 50 AND ny = 11) AS whole FROM n GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {GHOSTED} SELECT gx, gy, bytes, whole FROM m WHERE j % 9 = 0")
+def block_memory(spark, sf_dir):
+    """Bytes of all blocks by ghost layers, and whether a block holds the whole domain."""
+    rows = [(1 + (j + 1) // 2, 1 + j // 2) for j in range(0, 100, 9)]
+    return spark.createDataFrame([(*g, *Grid.of(SIZE, 8, g).memory(2)) for g in rows], "gx int, gy int, bytes long, whole boolean")
+
+
+@query(f"WITH {GHOSTED}, l AS (SELECT kb FROM (VALUES (1), (6), (9), (14), (22), (30), (1000)) v(kb)), f AS (SELECT kb, min(j) AS j FROM l, m WHERE bytes > kb * 1024 OR whole GROUP BY 1) SELECT kb, gx, gy FROM f JOIN m USING (j)")
+def ghosts_by_turns(spark, sf_dir):
+    """Ghost layers that grow in one dimension after another, by limits of memory."""
+    return spark.createDataFrame([(kb, *gr.ghosts_by_turns(Grid.of(SIZE, 8, 1), kb * 1024, 2)) for kb in (1, 6, 9, 14, 22, 30, 1000)], "kb int, gx int, gy int")
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES (2, 1, 0, 0), (4, 1, 1, 0), (8, 1, 1, 1)) t(procs, dx, dy, dz)), l AS (SELECT * FROM (VALUES (512), (1024), (2000)) t(limit_mb)),
+s AS (SELECT procs, limit_mb, i, CASE WHEN dx = 1 THEN least(512, 257 + i) ELSE 512 END AS nx, CASE WHEN dy = 1 THEN least(512, 257 + i) ELSE 512 END AS ny, CASE WHEN dz = 1 THEN least(512, 257 + i) ELSE 512 END AS nz
+  FROM p, l, generate_series(0, 300) g(i))
+SELECT procs, limit_mb, CAST(arg_min(nx, i) AS INT) AS nx, CAST(arg_min(ny, i) AS INT) AS ny, CAST(arg_min(nz, i) AS INT) AS nz FROM s
+WHERE 257 + i >= 512 OR CAST(nx AS BIGINT) * ny * nz * 12 > CAST(limit_mb AS BIGINT) * 1048576 GROUP BY 1, 2""")
+def elastic_block_sizes(spark, sf_dir):
+    """Block sizes that grow until their memory is used, on 512 vertices a side and three variables."""
+    rows = [(n, m, *gr.elastic_block_size((512,) * 3, n, n, m, 3)) for n in (2, 4, 8) for m in (512, 1024, 2000)]
+    return spark.createDataFrame(rows, "procs int, limit_mb int, nx int, ny int, nz int")
+
+
 # --- block stores -------------------------------------------------------------------------------------
 
 STORE = "SELECT CAST(event_id % 16 AS INT) AS gid, event_id, user_id FROM events"

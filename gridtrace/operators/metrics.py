@@ -79,3 +79,11 @@ def snapshots_to_text(snapshots: DataFrame, path: str) -> None:
     s = snapshots.groupBy("round", "phase").agg(F.array_sort(F.collect_list(F.struct("particle_id", "x", "y"))).alias("p"))
     text = F.array_join(F.transform("p", lambda q: F.concat_ws(":", q["x"].cast("string"), q["y"].cast("string"))), ",")
     s.select("round", "phase", text.alias("value")).write.mode("overwrite").partitionBy("round", "phase").text(path)
+
+
+def io_counters(reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of timed reads: boxes, bytes, seconds of all readers and of the slowest, and bytes a second of all together."""
+    per = reads.groupBy(*by, "reader").agg(F.sum("bytes_read").alias("b"), F.sum("io_seconds").alias("s"), F.count("*").alias("n"))
+    out = per.groupBy(*by) if by else per
+    out = out.agg(F.sum("n").alias("boxes"), F.sum("b").alias("bytes_read"), F.sum("s").alias("io_seconds"), F.max("s").alias("slowest"), F.count("*").alias("readers"))
+    return out.withColumn("bandwidth", F.try_divide("bytes_read", "slowest"))

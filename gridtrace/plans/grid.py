@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,6 +137,13 @@ class Grid:
             tuple(b + x if v else min(n - 1, b + x) for b, x, v, n in zip(hi, g, w, s, strict=True)),
         )
 
+    def memory(self, n_vars: int = 1, n_runs: int = 1) -> tuple[int, bool]:
+        """Bytes of all ghosted blocks of float32 variables, and whether a block holds the whole domain."""
+        boxes = [self.ghosted(g) for g in range(self.n_blocks)]
+        sizes = [tuple(b - a + 1 for a, b in zip(*box, strict=True)) for box in boxes]
+        whole = any(lo == (0,) * self.dims and n == self.size for (lo, _), n in zip(boxes, sizes, strict=True))
+        return sum(math.prod(n) for n in sizes) * n_vars * n_runs * 4, whole
+
     def owner(self, coords: list[Column]) -> Column:
         """The block that owns a point: truncated, divided by the block width, clamped."""
         gid, stride = F.lit(0), 1
@@ -269,6 +276,34 @@ def elastic_ghosts(size: tuple[int, ...], n_blocks: int, n_procs: int, limit_mb:
         grow = [np.float32(g + r) for g, r in zip(grow, ratio, strict=True)]
 
 
+def elastic_block_size(size: tuple[int, ...], n_blocks: int, n_procs: int, limit_mb: int, n_vars: int = 1, n_runs: int = 1, factor: int = 1, space_only: bool = False) -> tuple[int, ...]:
+    """Size of a block that grows in proportion to what is left, a layer at a time in its nearest dimension, until ``factor`` such blocks fill the memory."""
+    dims = 3 if space_only else len(size)
+    ds, times = size[:dims], size[3] if space_only else 1
+    limit = limit_mb * 2**20 // max(1, n_blocks // n_procs)
+    bs = tuple(s // n for s, n in zip(ds, divisions(n_blocks, dims), strict=True))
+    grow = [np.float32(b != s) for b, s in zip(bs, ds, strict=True)]
+    left = [s - b - int(g) for s, b, g in zip(ds, bs, grow, strict=True)]
+    nearest = min((x for x in left if x > 0), default=0)
+    ratio = [np.float32(x) / np.float32(nearest) if nearest else np.float32(0) for x in left]
+    while True:
+        out = tuple(min(b + math.ceil(g), s) for b, g, s in zip(bs, grow, ds, strict=True))
+        whole = all(b + g >= s for b, g, s in zip(bs, grow, ds, strict=True))
+        if whole or not nearest or math.prod(out) * n_vars * n_runs * 4 * factor * times > limit:
+            return out
+        grow = [np.float32(g + r) for g, r in zip(grow, ratio, strict=True)]
+
+
+def ghosts_by_turns(grid: Grid, limit_bytes: int, n_vars: int = 1, n_runs: int = 1) -> tuple[int, ...]:
+    """One layer everywhere, then a layer more in each dimension in turn, until all blocks are over the limit or one holds the whole domain."""
+    ghosts = [1] * grid.dims
+    for turn in itertools.count():
+        total, whole = replace(grid, ghosts=tuple(ghosts)).memory(n_vars, n_runs)
+        if total > limit_bytes or whole:
+            return tuple(ghosts)
+        ghosts[turn % grid.dims] += 1
+
+
 def centred_ghost_box(core_lo: tuple[int, ...], core_hi: tuple[int, ...], ghost_size: tuple[int, ...], size: tuple[int, ...]):
     """A box of a given size around the core, shifted to stay within the domain."""
     lo, hi = [], []

@@ -84,6 +84,24 @@ def read_boxes(requests: DataFrame, dims: int, readers: int, read) -> DataFrame:
     return parts.groupBy("id").applyInPandas(phase_two, f"id {kind}, start array<int>, shape array<int>, dtype string, data binary")
 
 
+def timed_reads(requests: DataFrame, dims: int, readers: int, read) -> DataFrame:
+    """Each reader's box read once, on the executors: bytes read and seconds it took."""
+    import time
+
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in g.itertuples():
+            at = time.perf_counter()
+            box = read(r.file, r.var, tuple(r.io_start), tuple(b - a for a, b in zip(r.io_start, r.io_end, strict=True)))
+            out.append((r.file, r.var, r.stage, r.reader, box.nbytes, time.perf_counter() - at))
+        return pd.DataFrame(out, columns=["file", "var", "stage", "reader", "bytes_read", "io_seconds"])
+
+    blocks = io_blocks(requests, dims, readers)
+    return blocks.groupBy("file", "var", "io_start").applyInPandas(run, "file string, var string, stage int, reader int, bytes_read long, io_seconds double")
+
+
 def exchange_plan(requests: DataFrame, blocks: DataFrame, dims: int) -> DataFrame:
     """Which part of which reader's box goes to which request: the boxes' intersections."""
     meet = F.lit(True)
