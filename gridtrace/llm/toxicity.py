@@ -248,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, held_out: bool
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
     rows = docs.sparkSession.createDataFrame(rows.collect(), rows.schema)  # at most ``sample`` rows
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(rows), "doc_id").select("t", "y", "fold")
+    texts = materialize(texts, "labelled")  # so that the documents are read once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, bytearray] = {}  # a byte for each fold and label
