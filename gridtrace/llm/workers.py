@@ -7,9 +7,12 @@ import functools
 import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+
 
 def give_back() -> None:
     gc.collect()
+    pa.default_memory_pool().release_unused()  # Arrow's pool is not of the C library
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
